@@ -90,9 +90,9 @@ def filter_words(keys: DataFrame, *cols: str, words: int = FILTER_WORDS) -> Data
     Its size doesn't depend on the number of keys, so it may be broadcast at any scale; with more
     keys it only lets more others pass.  It never misses a key that is in the set.
     """
-    h = F.xxhash64(*cols)
     return (
-        keys.select(F.pmod(F.shiftrightunsigned(h, 6), F.lit(words)).alias("word"), F.shiftleft(F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+        keys.select(F.xxhash64(*cols).alias("h"))
+        .selectExpr(f"pmod(shiftrightunsigned(h, 6), {words}) as word", "shiftleft(1L, cast(h & 63 as int)) as bit")
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
     )

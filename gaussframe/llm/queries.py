@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import exact_dedup
 from .common import table
 
 
@@ -14,12 +15,25 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+
+
 def op3_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .matroska import media_features
 
     return media_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, standard_quotas
+
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), standard_quotas)
+    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -37,5 +51,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_matroska_packets, op8_token_counts, op10_byte_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_matroska_packets, op7_source_mixing, op8_token_counts, op10_byte_bpe)}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}
