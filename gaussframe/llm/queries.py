@@ -15,6 +15,17 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_pii, joined
+
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(i: int):
+        return F.size(F.filter("__base", lambda c: c["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
+
+    return found.select("doc_id", *(count(i) for i in range(len(KINDS))), F.sha2(joined(F.col("__base")), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -51,5 +62,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_matroska_packets, op7_source_mixing, op8_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii_boosting, op2_exact_dedup, op3_matroska_packets, op7_source_mixing, op8_token_counts, op10_byte_bpe)}
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}
