@@ -52,6 +52,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, tokenizer("piece_bpe_32k.model"), limit=4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, num=90, den=100)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,5 +68,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_boosting, op2_exact_dedup, op3_matroska_packets, op7_source_mixing, op8_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii_boosting, op2_exact_dedup, op3_matroska_packets, op7_source_mixing, op8_token_counts, op9_ngram_jaccard, op10_byte_bpe)}
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}
