@@ -110,7 +110,11 @@ def classes(k: int, starts: np.ndarray, num: int, den: int) -> int:
 
 
 def signatures(s: np.ndarray, counts: np.ndarray, limit: float, starts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set, and the place in its order at which each is complete."""
+    """Signatures of a set, and for each how many of its tokens can't be shared once it is the first.
+
+    A pair of sets that links has a first signature in common: before it no rare token was shared,
+    and at most one frequent token of each class.  So the overlap is at most n minus that number.
+    """
     n = len(s)
     c = counts[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
     p = prefix_length(n, num, den)
@@ -131,7 +135,7 @@ def signatures(s: np.ndarray, counts: np.ndarray, limit: float, starts: np.ndarr
                     x, y = np.triu_indices(b - a, 1)
                     i, j = by[a:b][x], by[a:b][y]
                     sig.append(_mixed(f[i] * np.uint64(_MULT[1]) + f[j] * np.uint64(_MULT[2]) + np.uint64(key + 2)))
-                    at.append(where[np.maximum(i, j)])
+                    at.append(np.maximum(where[np.maximum(i, j)] - g, 0))
     return np.concatenate(sig).view(np.int64), np.concatenate(at).astype(np.int32)
 
 
@@ -344,40 +348,53 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(grow)).cast("int")
     members = maybe.join(several, F.col("sig") == F.col("s"), "left_semi").withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("sig", "band").alias("bucket"), "id", "n", "at")
     members = stored(members.groupBy("bucket", "id").agg(F.min("n").alias("n"), F.min("at").alias("at")), "ngram-members")
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("at", "id", "n")).alias("hub"), F.max("id").alias("y"), F.min("id").alias("x")).filter("x != y").select(F.col("bucket").alias("k"), F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    forget(sigs, several)
+    hubs = members.groupBy("bucket").agg(F.min(F.struct("at", "id", "n")).alias("hub"), F.count("*").alias("g")).filter("g > 1").select(F.col("bucket").alias("k"), F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at"), "g")
     hubs = stored(hubs, "ngram-hubs")
-    fits = F.lit(den) * F.least("n", "hub_n") >= F.lit(num) * F.greatest("n", "hub_n")
-    pairs = members.join(hubs, F.col("bucket") == F.col("k")).filter((F.col("id") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    # buckets of one member are gone; sets that no other of their size meets aren't needed
-    in_buckets = members.join(hubs, F.col("bucket") == F.col("k"), "left_semi").select("id").distinct()
-    wanted = stored(in_buckets.join(nodes.select(F.col("d1").alias("d"), "least"), F.col("id") == F.col("d")).select("id", "least"), "ngram-wanted")
-    few = stored(filter_words(wanted, "least"), "ngram-filter")
-    chosen = maybe_in(plain, few, "m", "key").filter("m or key is null").select("text")
-    sets = chosen.mapInArrow(lambda it: _set_pass(it, width, seed), "id long, tokens array<long>")
-    sets = sets.join(wanted.select(F.col("id").alias("w")), F.col("id") == F.col("w"), "left_semi")
-    sets = stored(sets.groupBy("id").agg(F.first("tokens").alias("tokens")), "ngram-sets")
+    least_both = F.ceil(F.lit(num) * (F.col("n") + F.col("hub_n")) / F.lit(num + den) - 1e-6)
+    fits = (F.lit(den) * F.least("n", "hub_n") >= F.lit(num) * F.greatest("n", "hub_n")) & (F.col("n") - F.col("at") >= least_both) & (F.col("hub_n") - F.col("hub_at") >= least_both)
+    pairs = stored(members.join(hubs, F.col("bucket") == F.col("k")).filter((F.col("id") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "ngram-pairs")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """Token sets of these nodes, from their smallest keys' texts; a few more may come, or come twice."""
+        least = ids.join(nodes.select(F.col("d1").alias("d"), "least"), F.col("id") == F.col("d")).select("least")
+        few = stored(filter_words(least, "least"), "ngram-filter")
+        chosen = maybe_in(plain, few, "m", "key").filter("m or key is null").select("text")
+        return stored(chosen.mapInArrow(lambda it: _set_pass(it, width, seed), "id long, tokens array<long>"), "ngram-sets")
+
+    sets = sets_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     ta, tb = sets.select(F.col("id").alias("ia"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("ib"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     near = pairs.join(tb, F.col("b") == F.col("ib")).join(ta, F.col("a") == F.col("ia")).withColumn("both", both).filter(F.lit(den) * F.col("both") >= F.lit(num) * (F.size("ta") + F.size("tb") - F.col("both")))
-    links = stored(near.select("a", "b"), "ngram-links")
-    alive = members.join(hubs.select(F.col("k")), F.col("bucket") == F.col("k"), "left_semi")
+    links = stored(near.select("a", "b").distinct(), "ngram-links")
+    forget(sets, pairs)
+    # the hub has met all; buckets of two are done; then those that no other member can meet go
+    rest = members.join(hubs.filter("g > 2").select("k", "hub"), F.col("bucket") == F.col("k")).filter(F.col("id") != F.col("hub")).select("bucket", "id", "n", "at")
+    top = F.least(F.col("n") * (den / num), (F.col("n") - F.col("at")) * ((num + den) / num) - F.col("n")) + 1e-6
+    rest = rest.withColumn("lo", F.col("n") * (num / den) - 1e-6).withColumn("hi", top)
+    span = rest.groupBy("bucket").agg(F.min("n").alias("n0"), F.max("n").alias("n1")).withColumnRenamed("bucket", "k")
+    rest = stored(rest.join(span, F.col("bucket") == F.col("k")).filter("hi >= n0 and lo <= n1").select("bucket", "id", "n"), "ngram-rest")
+    forget(members, hubs)
     for across in (False, True):
         label = components(links)
-        named = alive.join(label.select(F.col("id").alias("l"), "label"), F.col("id") == F.col("l"), "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
+        named = rest.join(label.select(F.col("id").alias("l"), "label"), F.col("id") == F.col("l"), "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
         named = stored(named, "ngram-labels")
         # one of the buckets with equal members stands for all of them
         open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("g"), F.sum("n").alias("t"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("f1"), F.sum(F.hash("id").cast("long")).alias("f2")).filter("lo != hi")
         open_ = open_.groupBy("f1", "f2", "g").agg(F.min("bucket").alias("k"), F.first("t").alias("t")).withColumn("m", F.greatest(F.ceil(F.col("g") / BLOCK_SETS), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("int"))
         open_ = stored(open_.filter("m > 1").select("k", "m") if across else open_.select("k", "m"), "ngram-open")
         placed = named.join(open_, F.col("bucket") == F.col("k")).withColumn("c", F.pmod(F.xxhash64("id", F.lit(7)), F.col("m")).cast("int"))
-        if across:
+        if not across:
+            sets = sets_of(placed.select("id").distinct())
+            placed = placed.withColumn("block", F.xxhash64("bucket", "c")).withColumn("side", F.lit(True))
+        else:
             other = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
             placed = placed.withColumn("o", other).filter("o != c").withColumn("block", F.xxhash64("bucket", F.least("c", "o"), F.greatest("c", "o"))).withColumn("side", F.col("c") < F.col("o"))
-        else:
-            placed = placed.withColumn("block", F.xxhash64("bucket", "c")).withColumn("side", F.lit(True))
         filled = placed.select("block", "id", "label", "side").join(sets.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select("block", "id", "label", "side", "tokens")
         more = filled.groupBy("block").applyInArrow(_edges_of(num, den, across), "a long, b long")
         links = stored(links.unionByName(more).distinct(), "ngram-links")
+        forget(named)
+    forget(sets, rest)
     label = components(links)
     least = nodes.select(F.col("d1").alias("d"), "least", "copies")
     full = least.join(label, F.col("d") == F.col("id"), "left").withColumn("label", F.coalesce("label", "d"))
@@ -385,7 +402,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     groups = full.filter("id is not null").groupBy("label").agg(F.min("least").alias("c")).select(F.col("label").alias("g"), "c")
     lookup = full.filter("id is not null or copies > 1").join(groups, F.col("label") == F.col("g"), "left").select("d", F.coalesce("c", "least").alias("c"))
     lookup = stored(lookup, "ngram-lookup")
-    forget(sigs, sets, members, named)
     some = rows.filter("n > 0").join(lookup, F.col("d1") == F.col("d"), "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("d").isNull(), F.col("key")).otherwise(F.col("c")).alias("component_id"))
     none = rows.filter("n = 0").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
     return some.unionByName(none)
