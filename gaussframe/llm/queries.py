@@ -46,6 +46,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+    from .toxicity import remainder
+
+    docs, labels = (table(spark, sf_dir, n) for n in ("documents", "labels"))
+    scored = quality(docs.select("doc_id", "text"), labels, remainder(F.col("__k"), 3) != 1)
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, standard_quotas
 
@@ -76,5 +85,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_boosting, op2_exact_dedup, op3_matroska_packets, op4_toxicity, op7_source_mixing, op8_token_counts, op9_ngram_jaccard, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii_boosting, op2_exact_dedup, op3_matroska_packets, op4_toxicity, op5_quality_gam, op7_source_mixing, op8_token_counts, op9_ngram_jaccard, op10_byte_bpe)}
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}
