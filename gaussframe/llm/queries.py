@@ -55,6 +55,15 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_license_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_licenses, and the matches as license:coverage:start:end by start."""
+    from .licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = F.transform("matches", lambda m: F.concat_ws(":", m["license"], F.format_number(m["coverage"], 4), m["start"].cast("string"), m["end"].cast("string")))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.concat_ws(",", named).alias("licenses"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, standard_quotas
 
@@ -85,5 +94,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_boosting, op2_exact_dedup, op3_matroska_packets, op4_toxicity, op5_quality_gam, op7_source_mixing, op8_token_counts, op9_ngram_jaccard, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii_boosting, op2_exact_dedup, op3_matroska_packets, op4_toxicity, op5_quality_gam, op6_license_patience, op7_source_mixing, op8_token_counts, op9_ngram_jaccard, op10_byte_bpe)}
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}

@@ -105,13 +105,12 @@ def tokens_of(text: str | None) -> list[str]:
 
 def kernel_matrix(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel values of words and landmarks."""
-    table = np.zeros((_ALPHABET**3, len(landmarks)), np.float32)
-    for of, t, w in _triples(landmarks):
-        np.add.at(table, (t, of), w)
     rows = np.unique(np.concatenate([t for _, t, _ in _triples(landmarks)] or [np.zeros(0, np.int64)]))
     index = np.zeros(_ALPHABET**3, np.int32)
     index[rows] = np.arange(1, len(rows) + 1)
-    small = np.vstack([np.zeros((1, len(landmarks)), np.float32), table[rows]])
+    small = np.zeros((len(rows) + 1, len(landmarks)), np.float32)
+    for of, t, w in _triples(landmarks):
+        np.add.at(small, (index[t], of), w)
     out = np.zeros((len(words), len(landmarks)))
     for a in range(0, len(words), 20_000):
         part = words[a : a + 20_000]
@@ -210,15 +209,11 @@ def _landmarks(docs: list[list[str]], y: np.ndarray) -> tuple[list[str], list[st
     score = {g: np.log((c + 0.5) / (n1 + 1)) - np.log((hit[0][g] + 0.5) / (n0 + 1)) - 2 * np.sqrt(1 / (c + 0.5) + 1 / (hit[0][g] + 0.5)) for g, c in hit[1].items() if c > 1}
     ranked = sorted((g for g in score if score[g] > 0), key=lambda g: (-score[g] * np.sqrt(hit[1][g]), -len(g), g))[:4000]
     chosen: list[str] = []
-    if ranked:
-        k = kernel_matrix(ranked, ranked)
-        taken: list[int] = []
-        for i in range(len(ranked)):
-            if not taken or k[i, taken].max() < APART:
-                taken.append(i)
-                if len(taken) == TOXIC_LANDMARKS:
-                    break
-        chosen = [ranked[i] for i in taken]
+    near = np.zeros(len(ranked))
+    while len(chosen) < TOXIC_LANDMARKS and (near < APART).any():
+        chosen.append(ranked[int(np.argmax(near < APART))])
+        near = np.maximum(near, kernel_matrix(ranked, chosen[-1:])[:, 0])
+        near[ranked.index(chosen[-1])] = 1
     common = [g for g, _ in sorted(hit[0].items(), key=lambda x: (-x[1], x[0])) if len(g) == 5 or g[0] + g[-1] == "^$"][: OTHER_LANDMARKS * 4 : 4]
     return chosen, common
 
