@@ -42,7 +42,7 @@ NEAR = 0.2
 #: Longer words are scored in windows.
 WORD, STEP = 24, 12
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _ALPHABET = 64
 _GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -238,7 +238,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Scor
     r = np.random.default_rng(5)
     for a in range(0, len(every), 20_000):
         k = kernel_matrix(every[a : a + 20_000], landmarks)
-        some = (k[:, : len(toxic)].max(axis=1) >= NEAR) | (r.random(len(k)) < 0.02)
+        some = (k[:, : len(toxic)].max(axis=1) >= NEAR) | (r.random(len(k)) < max(0.02, 5000 / len(every)))
         kept.append(np.flatnonzero(some) + a)
         parts.append(k[some].astype(np.float32))
     k, kept = np.concatenate(parts), np.concatenate(kept)
@@ -274,13 +274,22 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Scor
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted logistic regression with a small ridge, by Newton steps that are halved until they help."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 5e-2 * w @ w)
+
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x.T * weight * np.maximum(p * (1 - p), 1e-6)) @ x + 1e-2 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (weight * (p - y)) + 1e-2 * w)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+        h = (x.T * (weight * p * (1 - p))) @ x + 1e-1 * np.eye(len(w))
+        step, now = np.linalg.solve(h, x.T @ (weight * (p - y)) + 1e-1 * w), loss(w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return w
 
