@@ -6,6 +6,8 @@ a density in y; ``mutual_information`` is positive.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,3 +86,18 @@ def truncated(mu: Column, sigma: Column, lower: Column, upper: Column) -> dict[s
     afa, bfb = F.when(F.abs(a) > 38, 0.0).otherwise(a * fa), F.when(F.abs(b) > 38, 0.0).otherwise(b * fb)
     d = (fa - fb) / mass
     return {"mass": mass, "mean": F.when(mass <= 0, 0.0).otherwise(mu + sigma * d), "variance": F.when(mass <= 0, 0.0).otherwise(sigma * sigma * (1 + (afa - bfb) / mass - d * d))}
+
+
+def truncated_moment(mu: Column, sigma: Column, lower: Column, upper: Column, k: int) -> Column:
+    """The k-th moment of the truncated density, by recursion over standardised moments."""
+    a, b = F.coalesce((lower - mu) / sigma, F.lit(float("-inf"))), F.coalesce((upper - mu) / sigma, F.lit(float("inf")))
+    mass = L.normal_cdf(b) - L.normal_cdf(a)
+
+    def edge(x: Column, n: int) -> Column:
+        return F.when(F.abs(x) > 38, 0.0).otherwise(F.pow(x, F.lit(float(n))) * L.normal_pdf(x))
+
+    own = [F.lit(1.0)]
+    for i in range(1, k + 1):
+        own.append((edge(a, i - 1) - edge(b, i - 1)) / mass + ((i - 1) * own[i - 2] if i > 1 else F.lit(0.0)))
+    total = sum((math.comb(k, i) * F.pow(sigma, F.lit(float(i))) * F.pow(mu, F.lit(float(k - i))) * own[i] for i in range(k + 1)), F.lit(0.0))
+    return F.when(mass <= 0, 0.0).otherwise(total)

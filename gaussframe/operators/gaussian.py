@@ -136,6 +136,10 @@ class Affine:
     def cov(self, o: Affine) -> Column:
         return L.matmul(L.matmul(self.a, F.col("Sigma")), L.transpose(o.a))
 
+    def second(self, o: Affine) -> Column:
+        """The expectation of the outer product."""
+        return L.madd(self.cov(o), L.outer(self.mean, o.mean))
+
 
 def z() -> Column:
     return F.exp("log_integral")
@@ -156,6 +160,14 @@ INTEGRALS = {
     "xb'xx'": lambda b: L.mscale(L.madd(L.madd(L.outer(F.col("mu"), L.matvec(L.madd(F.col("Sigma"), L.outer(F.col("mu"), F.col("mu"))), b)), L.mscale(F.col("Sigma"), L.dot(b, F.col("mu")))), L.outer(L.matvec(F.col("Sigma"), b), F.col("mu"))), z()),
     "(Ax+a)(Bx+b)'(Cx+c)": lambda A, B, C: L.scale(L.add(L.add(_times(A.cov(B), C.mean), _times(A.cov(C), B.mean)), L.scale(A.mean, L.trace(B.cov(C)) + L.dot(B.mean, C.mean))), z()),
     "(Ax+a)'(Bx+b)(Cx+c)'": lambda A, B, C: L.scale(L.add(L.add(_times(L.transpose(B.cov(C)), A.mean), _times(L.transpose(A.cov(C)), B.mean)), L.scale(C.mean, L.trace(A.cov(B)) + L.dot(A.mean, B.mean))), z()),
+    "x(A'x + a)x'": lambda b, a: L.madd(INTEGRALS["xb'xx'"](b), L.mscale(INTEGRALS["xx'"](), a)),
+    "(Ax+a)(Bx+b)'(Cx+c)(Dx+d)'": lambda A, B, C, D: L.mscale(
+        L.madd(
+            L.madd(L.matmul(A.second(B), C.second(D)), L.matmul(A.second(C), B.second(D))),
+            L.madd(L.mscale(L.madd(A.cov(D), L.mscale(L.outer(A.mean, D.mean), -1.0)), L.dot(B.mean, C.mean)), L.mscale(A.second(D), L.trace(B.cov(C)))),
+        ),
+        z(),
+    ),
     "(Ax+a)'(Bx+b)(Cx+c)'(Dx+d)": lambda A, B, C, D: z()
     * (
         L.trace(L.matmul(A.cov(C), D.cov(B)))

@@ -123,12 +123,13 @@ def _isserlis(names):
     return " + ".join(parts)
 
 
-for _name, _expr, _n, _ix in [("integrate_general_linear", "(Ax+a)", 1, (0,)), ("integrate_quadratic_inner", "(Ax+a)'(Bx+b)", 2, ()), ("integrate_quadratic_outer", "(Ax+a)(Bx+b)'", 2, (0, 0)), ("integrate_cubic_inner", "(Ax+a)(Bx+b)'(Cx+c)", 3, (0,)), ("integrate_cubic_outer", "(Ax+a)'(Bx+b)(Cx+c)'", 3, (0,)), ("integrate_quartic_inner", "(Ax+a)'(Bx+b)(Cx+c)'(Dx+d)", 4, ())]:
+for _name, _expr, _n, _ix in [("integrate_general_linear", "(Ax+a)", 1, (0,)), ("integrate_quadratic_inner", "(Ax+a)'(Bx+b)", 2, ()), ("integrate_quadratic_outer", "(Ax+a)(Bx+b)'", 2, (0, 0)), ("integrate_cubic_inner", "(Ax+a)(Bx+b)'(Cx+c)", 3, (0,)), ("integrate_cubic_outer", "(Ax+a)'(Bx+b)(Cx+c)'", 3, (0,)), ("integrate_quartic_inner", "(Ax+a)'(Bx+b)(Cx+c)'(Dx+d)", 4, ()), ("integrate_quartic_outer", "(Ax+a)(Bx+b)'(Cx+c)(Dx+d)'", 4, (0, 0))]:
     register(_name, lambda s, d, e=_expr, n=_n, ix=_ix: (unnormalised(s, d), [at(G.integrate(e, *forms(n)), *ix)]), ["value"], [f"2 * ({_isserlis('ABCD'[:_n])})"])
 register("integrate_1", lambda s, d: (unnormalised(s, d), [G.integrate("1")]), ["value"], ["2"])
 register("integrate_x", lambda s, d: (unnormalised(s, d), [at(G.integrate("x"), 0), at(G.integrate("x"), 1)]), ["x1", "x2"], ["2 * m1", "2 * m2"])
 register("integrate_xxT", lambda s, d: (unnormalised(s, d), [at(G.integrate("xx'"), 0, 0), at(G.integrate("xx'"), 0, 1)]), ["x11", "x12"], ["2 * (s11 + m1 * m1)", "2 * (s12 + m1 * m2)"])
 register("integrate_xbxx", lambda s, d: (unnormalised(s, d), [at(G.integrate("xb'xx'", L.vec(1, 0)), 0, 1)]), ["x12"], ["2 * (m1 * (s12 + m1 * m2) + m1 * s12 + s11 * m2)"])
+register("integrate_cubic_outer_x", lambda s, d: (unnormalised(s, d), [at(G.integrate("x(A'x + a)x'", L.vec(1, 0), 0.5), 0, 1)]), ["x12"], ["2 * (m1 * (s12 + m1 * m2) + m1 * s12 + s11 * m2 + 0.5 * (s12 + m1 * m2))"])
 register("integrate_log_factor", lambda s, d: (unnormalised(s, d), [G.log_factor_integral(F.col("Lambda"), F.col("nu"), F.col("ln_beta"))]), ["value"], [f"2 * (-(2 + m1 * v1 + m2 * v2) / 2 + v1 * m1 + v2 * m2 + lb + {math.log(2)!r})"])
 
 # a regression of w on (u, v) as a conditional; x has the groups' densities
@@ -170,6 +171,9 @@ def _truncated(s, d):
 
 
 register("truncated_moments", lambda s, d: (_truncated(s, d), list(C.truncated(F.col("m"), F.col("sd"), F.col("m") - F.col("sd"), F.col("m") + F.col("sd")).values())), ["mass", "mean", "variance"], ["0.6826894921370859", "m", f"sd * sd * (1 - 2 * {math.exp(-0.5) / math.sqrt(2 * math.pi)!r} / 0.6826894921370859)"], "(SELECT event_type, avg(value) AS m, stddev_pop(value) AS sd FROM events GROUP BY event_type)", "", ("event_type",))
+_L2 = f"(1 - 2 * {math.exp(-0.5) / math.sqrt(2 * math.pi)!r} / 0.6826894921370859)"
+_L4 = f"({_L2} * 3 - 2 * {math.exp(-0.5) / math.sqrt(2 * math.pi)!r} / 0.6826894921370859)"
+register("truncated_moment_k", lambda s, d: (_truncated(s, d), [C.truncated_moment(F.col("m"), F.col("sd"), F.col("m") - F.col("sd"), F.col("m") + F.col("sd"), k) for k in (3, 4)]), ["third", "fourth"], [f"m * m * m + 3 * m * sd * sd * {_L2}", f"m * m * m * m + 6 * m * m * sd * sd * {_L2} + sd * sd * sd * sd * {_L4}"], "(SELECT event_type, avg(value) AS m, stddev_pop(value) AS sd FROM events GROUP BY event_type)", "", ("event_type",))
 register("kalman_filter", lambda s, d: (kalman_filter(_read(s, d, "events"), "user_id", ["ts", "event_id"], "value", 0.9, 0.5, 1.0, 2.0), [F.col("n"), F.col("mean"), F.col("variance")]), ["n", "mean", "variance"], ["n", "m", "p"], "k WHERE i = n", """WITH RECURSIVE e AS (SELECT user_id, CAST(value AS DOUBLE) AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL),
 k AS (SELECT user_id, n, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS m, CAST(1 AS DOUBLE) AS p FROM e WHERE i = 1
 UNION ALL SELECT k.user_id, k.n, e.i, 0.9 * k.m + (0.81 * k.p + 0.5) / (0.81 * k.p + 2.5) * (e.x - 0.9 * k.m), (0.81 * k.p + 0.5) - (0.81 * k.p + 0.5) * (0.81 * k.p + 0.5) / (0.81 * k.p + 2.5) FROM k JOIN e ON e.user_id = k.user_id AND e.i = k.i + 1)
