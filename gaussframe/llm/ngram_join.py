@@ -43,7 +43,9 @@ FREQUENT = 300
 #: Members and tokens of a block.
 BLOCK_SETS, BLOCK_TOKENS = 1024, 1_000_000
 #: Words whose hashes a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
+#: Bits of the parity map of a set, which bounds the difference of two sets from below.
+PARITY = 1024
 
 _MULT = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25]
 
@@ -92,6 +94,12 @@ def names(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Which of ``PARITY`` cells hold an odd number of tokens; maps differ in no more places than sets in tokens."""
+    odd = np.bincount((s >> np.uint64(8)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def bands(num: int, den: int, upto: int) -> np.ndarray:
     """First sizes of the bands: sets of similarity num/den are in one band or in neighbours."""
     out = [1]
@@ -152,27 +160,28 @@ def _first_pass(batches, width: int, seed: int):
     counters = np.zeros(1 << COUNTER_BITS, np.int64)
     empty = pa.nulls
     for part, texts in _texts(batches):
-        n, d1, d2, new = [], [], [], []
+        n, d1, d2, bits, new = [], [], [], [], []
         for t in texts:
             s = shingles(t, width, hashes)
             x, y = names(s) if len(s) else (None, None)
             n.append(len(s))
             d1.append(x)
             d2.append(y)
+            bits.append(None if x is None else parity(s))
             if x is not None and x not in seen:
                 seen.add(x)
                 new.append((s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64))
         if new:
             counters += np.bincount(np.concatenate(new), minlength=len(counters))
         m = len(texts)
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), empty(m, pa.int32()), empty(m, pa.binary())], names=["key", "n", "d1", "d2", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.list_(pa.int64())), empty(m, pa.int32()), empty(m, pa.binary())], names=["key", "n", "d1", "d2", "bits", "slice", "counts"])
         key_type = part.column(0).type
     if counters.any():
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
         rows = [z.compress(x.astype("<u8").tobytes()) for x in np.split(counters, SLICES)]
-        yield pa.RecordBatch.from_arrays([empty(SLICES, key_type), *(empty(SLICES, pa.int64()) for _ in range(3)), pa.array(range(SLICES), pa.int32()), pa.array(rows, pa.binary())], names=["key", "n", "d1", "d2", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([empty(SLICES, key_type), *(empty(SLICES, pa.int64()) for _ in range(3)), empty(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(rows, pa.binary())], names=["key", "n", "d1", "d2", "bits", "slice", "counts"])
 
 
 def _slices_of(batches):
@@ -321,10 +330,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     key_type = plain.schema[0].dataType.simpleString()
     for seed in range(100):
-        first = stored(plain.mapInArrow(lambda it, seed=seed: _first_pass(it, width, seed), f"key {key_type}, n long, d1 long, d2 long, slice int, counts binary"), "ngram-docs")
-        rows = first.filter("slice is null").select("key", "n", "d1", "d2")
+        first = stored(plain.mapInArrow(lambda it, seed=seed: _first_pass(it, width, seed), f"key {key_type}, n long, d1 long, d2 long, bits array<long>, slice int, counts binary"), "ngram-docs")
+        rows = first.filter("slice is null").select("key", "n", "d1", "d2", "bits")
         # equal sets: one node
-        nodes = stored(rows.filter("n > 0").groupBy("d1").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), (F.min("d2") != F.max("d2")).alias("twice")), "ngram-nodes")
+        nodes = stored(rows.filter("n > 0").groupBy("d1").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), (F.min("d2") != F.max("d2")).alias("twice"), F.first("bits").alias("bits")), "ngram-nodes")
         if not nodes.filter("twice").limit(1).count():
             break
         forget(first, nodes)
@@ -353,7 +362,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     hubs = stored(hubs, "ngram-hubs")
     least_both = F.ceil(F.lit(num) * (F.col("n") + F.col("hub_n")) / F.lit(num + den) - 1e-6)
     fits = (F.lit(den) * F.least("n", "hub_n") >= F.lit(num) * F.greatest("n", "hub_n")) & (F.col("n") - F.col("at") >= least_both) & (F.col("hub_n") - F.col("hub_at") >= least_both)
-    pairs = stored(members.join(hubs, F.col("bucket") == F.col("k")).filter((F.col("id") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "ngram-pairs")
+    pairs = members.join(hubs, F.col("bucket") == F.col("k")).filter((F.col("id") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    # a bound from parity maps, so that most pairs never need their sets
+    na, nb = (nodes.select(F.col("d1").alias(f"i{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"p{x}")) for x in "ab")
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    most = F.col("na") + F.col("nb") - 2 * F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den) - 1e-6)
+    pairs = stored(pairs.join(nb, F.col("b") == F.col("ib")).join(na, F.col("a") == F.col("ia")).filter(differ <= most).select("a", "b"), "ngram-pairs")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """Token sets of these nodes, from their smallest keys' texts; a few more may come, or come twice."""
