@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import linalg as L
 from ..operators import conditional as C
 from ..operators import gaussian as G
+from ..operators import kernels as K
 from ..sources.fit import fit
 from ..streaming.kalman import kalman_filter
 
@@ -178,3 +179,24 @@ register("kalman_filter", lambda s, d: (kalman_filter(_read(s, d, "events"), "us
 k AS (SELECT user_id, n, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS m, CAST(1 AS DOUBLE) AS p FROM e WHERE i = 1
 UNION ALL SELECT k.user_id, k.n, e.i, 0.9 * k.m + (0.81 * k.p + 0.5) / (0.81 * k.p + 2.5) * (e.x - 0.9 * k.m), (0.81 * k.p + 0.5) - (0.81 * k.p + 0.5) * (0.81 * k.p + 0.5) / (0.81 * k.p + 2.5) FROM k JOIN e ON e.user_id = k.user_id AND e.i = k.i + 1)
 """, ("user_id",))
+
+# one kernel, one output: the SQL has the two-dimensional closed form
+_KN = ([2.0, 0.4], [1.5, 0.7])
+
+
+def _kernel_sql(tag, l1, l2):
+    p = f"((s11 + {l1**2!r}) * (s22 + {l2**2!r}) - s12 * s12)"
+    w1, w2 = f"(((s22 + {l2**2!r}) * (2.0 - m1) - s12 * (0.4 - m2)) / {p})", f"(((s11 + {l1**2!r}) * (0.4 - m2) - s12 * (2.0 - m1)) / {p})"
+    return f"{l1 * l2!r} / sqrt({p}) * exp(-((2.0 - m1) * {w1} + (0.4 - m2) * {w2}) / 2) AS k{tag}, {w1} AS w1{tag}, {w2} AS w2{tag}"
+
+
+_KB = BASE + f", q AS (SELECT *, {_kernel_sql('a', 1.5, 0.7)}, {_kernel_sql('b', 1.5 / math.sqrt(2), 0.7 / math.sqrt(2))} FROM h)\n"
+_KC = ("(ka * (s11 * w1a + s12 * w2a))", "(ka * (s12 * w1a + s22 * w2a))")
+register(
+    "kernel_marginal",
+    lambda s, d: (K.marginal(groups(s, d), [_KN], [[0.5, -0.25, 2.0]], [0.1], [[0.3]]), [col("mu", 0), col("Sigma", 0, 0), col("cross", 0, 0)]),
+    ["mu", "S", "c"],
+    ["0.5 * m1 - 0.25 * m2 + 2 * ka + 0.1", f"0.3 + 0.25 * s11 - 0.25 * s12 + 0.0625 * s22 + 4 * (0.5 * {_KC[0]} - 0.25 * {_KC[1]}) + 4 * (kb - ka * ka)", f"0.5 * s11 - 0.25 * s12 + 2 * {_KC[0]}"],
+    "q",
+    _KB,
+)
