@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import linalg as L
 from ..operators import conditional as C
 from ..operators import gaussian as G
+from ..operators import heteroscedastic as H
 from ..operators import kernels as K
 from ..sources.fit import fit
 from ..streaming.kalman import kalman_filter
@@ -200,3 +201,8 @@ register(
     "q",
     _KB,
 )
+
+_HM, _HV = "(0.3 * m1 - 0.2 * m2 + 0.1)", "(0.09 * s11 - 0.12 * s12 + 0.04 * s22)"
+_HB = "0.3 + 0.25 * s11 - 0.25 * s12 + 0.0625 * s22 + 0.64 * "
+for _link, _e in (("exp", f"exp({_HM} + {_HV} / 2)"), ("cosh_minus_one", f"((exp({_HM} + {_HV} / 2) + exp({_HV} / 2 - {_HM})) / 2 - 1)")):
+    register(f"hetero_{_link}_marginal", lambda s, d, k=_link: (H.marginal(groups(s, d), k, [[0.5, -0.25]], [0.1], [[0.3]], [[0.8]], [[0.3, -0.2]], [0.1]), [col("mu", 0), col("Sigma", 0, 0)]), ["mu", "S"], ["0.5 * m1 - 0.25 * m2 + 0.1", _HB + _e])

@@ -66,3 +66,15 @@ def test_normal_cdf(spark):
 def test_unknown_integral():
     with pytest.raises(KeyError):
         G.integrate("xxx")
+
+
+@pytest.mark.parametrize("link", ["exp", "cosh_minus_one", "heaviside", "relu"])
+def test_expected_links(spark, link):
+    from gaussframe.operators.heteroscedastic import expected_link
+
+    f = {"exp": np.exp, "cosh_minus_one": lambda h: np.cosh(h) - 1, "heaviside": lambda h: h >= 0, "relu": lambda h: np.maximum(h, 0)}[link]
+    x = np.linspace(-12, 12, 400_001)
+    for m, v in ((0.3, 0.5), (-1.0, 2.0)):
+        want = np.sum(f(m + np.sqrt(v) * x) * np.exp(-x * x / 2)) * (x[1] - x[0]) / np.sqrt(2 * np.pi)
+        got = spark.range(1).select(expected_link(link, F.lit(m), F.lit(v)).alias("e")).first().e
+        assert np.isclose(got, want, atol=1e-4)
