@@ -38,7 +38,7 @@ from .common import ship, stored
 #: Bytes of text of a block; a longer text is a block of its own.
 BLOCK_BYTES = 6 << 20
 #: Words that a partition remembers before it starts anew (words met again are then encoded again).
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _compiled: dict[str, tuple] = {}
 _encoders: dict[tuple[str, str], object] = {}

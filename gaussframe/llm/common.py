@@ -21,7 +21,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 FILTER_WORDS = 1 << 17
 
 #: Bytes of text that Arrow hands to a Python worker at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 _shipped: set[str] = set()
 _own_dir: dict[str, str] = {}

@@ -43,7 +43,7 @@ FREQUENT = 300
 #: Members and tokens of a block.
 BLOCK_SETS, BLOCK_TOKENS = 1024, 1_000_000
 #: Words whose hashes a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: Bits of the parity map of a set, which bounds the difference of two sets from below.
 PARITY = 1024
 

@@ -42,7 +42,7 @@ NEAR = 0.2
 #: Longer words are scored in windows.
 WORD, STEP = 24, 12
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 
 _ALPHABET = 64
 _GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]

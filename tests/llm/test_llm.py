@@ -149,7 +149,7 @@ def test_mixing(spark, docs, none):
 def test_token_counts(docs, none):
     path = str(P.path("piece_bpe_32k.model"))
     sp = token_counts.model(path)
-    odd = docs.select("doc_id", "text").unionByName(docs.select(F.lit(50), F.lit("　 a ▁b  \x00 \n ")))
+    odd = docs.select("doc_id", "text").unionByName(docs.select(F.lit(50), F.lit("　 a ▁b  \x00 \n ")).toDF("doc_id", "text"))
     for r in token_counts.count_tokens(odd, path).collect():
         assert r.n_tokens == len(sp.encode(r.text or "")) and r.n_bytes == len((r.text or "").encode())
     assert token_counts.count_tokens(none, path).count() == 0
