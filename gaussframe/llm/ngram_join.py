@@ -9,8 +9,9 @@ pairs stay a few times the prefix; sets meet in size bands, which fix G for both
 
 Verification loses no link between different texts and never lists a group's pairs:
 1. In every bucket each set is verified against one hub (the one that holds the token earliest).
-2. Buckets whose members are not yet one component are compared in blocks of bounded size, by matrix
-   products in a worker, which return the edges of a spanning forest.
+2. Buckets whose members are not yet one component are compared in blocks of bounded size: first by
+   parity maps, which bound set differences, then, for members that these allow a partner, by matrix
+   products of sets in a worker, which return the edges of a spanning forest.
 3. Buckets of several blocks that still hold several components are compared across their blocks.
 Components come from alternating large-star and small-star steps on stored tables.
 
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import filter_words, forget, maybe_in, ship, stored
@@ -44,7 +45,7 @@ FREQUENT = 300
 BLOCK_SETS, BLOCK_TOKENS = 1024, 1_000_000
 #: Words whose hashes a worker remembers before it starts anew.
 REMEMBERED = 120_000
-#: Bits of the parity map of a set, which bounds the difference of two sets from below.
+#: Least cells of the parity map of a set, which bounds the difference of two sets from below.
 PARITY = 1024
 
 _MULT = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25]
@@ -95,11 +96,27 @@ def names(s: np.ndarray) -> tuple[int, int]:
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """Which of ``PARITY`` cells hold an odd number of tokens; maps differ in no more places than sets in tokens."""
-    odd = np.bincount((s >> np.uint64(8)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    """Which cells hold an odd number of tokens; maps differ in no more places than sets in tokens.
+
+    There is a cell for each token at least, by powers of two from ``PARITY``; the halves' XOR is the map of half the cells.
+    """
+    cells = max(PARITY, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(8)).astype(np.int64) % cells, minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def parity_difference(a: Column, b: Column) -> Column:
+    """In how many places two maps differ at least, of which one may have twice the other's cells."""
+
+    def folded(x: Column, other: Column) -> Column:
+        h = F.size(other)
+        return F.when(F.size(x) > h, F.zip_with(F.slice(x, 1, h), F.slice(x, h + 1, h), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    x = F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    # maps that differ more in size say nothing
+    return F.aggregate(x, F.lit(0), lambda t, n: t + F.coalesce(n, F.lit(0)))
+
+
 def bands(num: int, den: int, upto: int) -> np.ndarray:
     """First sizes of the bands: sets of similarity num/den are in one band or in neighbours."""
     out = [1]
@@ -120,6 +137,7 @@ def classes(k: int, starts: np.ndarray, num: int, den: int) -> int:
 def signatures(s: np.ndarray, counts: np.ndarray, limit: float, starts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a set, and for each how many of its tokens can't be shared once it is the first.
 
+    A set stands in its own size band and the next, so that all that link with it meet it in one.
     A pair of sets that links has a first signature in common: before it no rare token was shared,
     and at most one frequent token of each class.  So the overlap is at most n minus that number.
     """
@@ -130,20 +148,27 @@ def signatures(s: np.ndarray, counts: np.ndarray, limit: float, starts: np.ndarr
     g_own, g_next = classes(band, starts, num, den), classes(band + 1, starts, num, den)
     order = np.lexsort((s, c))[: p + max(g_own, g_next)]
     t, often = s[order], c[order] > limit
-    sig, at = [_mixed(t[~often] + np.uint64(1))], [np.flatnonzero(~often)]
-    f, where = t[often], np.flatnonzero(often)
-    if len(f) > 1:
-        for key, g in ((band, g_own), (band + 1, g_next)):
-            own = where < p + g
-            kind = (f[own] >> np.uint64(8)) % np.uint64(g)
-            by = np.argsort(kind, kind="stable")
-            cuts = np.searchsorted(kind[by], np.arange(g + 1, dtype=np.uint64))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if b - a > 1:
-                    x, y = np.triu_indices(b - a, 1)
-                    i, j = by[a:b][x], by[a:b][y]
-                    sig.append(_mixed(f[i] * np.uint64(_MULT[1]) + f[j] * np.uint64(_MULT[2]) + np.uint64(key + 2)))
-                    at.append(np.maximum(where[np.maximum(i, j)] - g, 0))
+    rare, f, where = t[~often], t[often], np.flatnonzero(often)
+    # of the next band, all are larger: fewer positions leave enough to share
+    last = n + -num * (n + int(starts[band + 1])) // (num + den)
+    sig, at = [], []
+    for key, g, most in ((band, g_own, p - 1), (band + 1, g_next, last)):
+        first = np.flatnonzero(~often)
+        own = first <= most
+        sig.append(_mixed(rare[own] + np.uint64(1 + key * _MULT[3] & 0xFFFFFFFFFFFFFFFF)))
+        at.append(first[own])
+        own = where < p + g
+        kind = (f[own] >> np.uint64(8)) % np.uint64(g)
+        by = np.argsort(kind, kind="stable")
+        cuts = np.searchsorted(kind[by], np.arange(g + 1, dtype=np.uint64))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > 1:
+                x, y = np.triu_indices(b - a, 1)
+                i, j = by[a:b][x], by[a:b][y]
+                place = np.maximum(where[np.maximum(i, j)] - g, 0)
+                i, j, place = i[place <= most], j[place <= most], place[place <= most]
+                sig.append(_mixed(f[i] * np.uint64(_MULT[1]) + f[j] * np.uint64(_MULT[2]) + np.uint64(key + 2)))
+                at.append(place)
     return np.concatenate(sig).view(np.int64), np.concatenate(at).astype(np.int32)
 
 
@@ -287,6 +312,32 @@ def _block_edges(table: pa.Table, num: int, den: int, across: bool) -> pa.Table:
     return pa.table([pa.array([int(ids[i]) for i, _ in edges], pa.int64()), pa.array([int(ids[j]) for _, j in edges], pa.int64())], names=["a", "b"])
 
 
+def _block_candidates(table: pa.Table, num: int, den: int, across: bool) -> pa.Table:
+    """The rows of a block that have a partner of another label which sizes and parity maps allow."""
+    table = table.combine_chunks()
+    n, label = table.column("n").to_numpy(), table.column("label").to_numpy()
+    maps = table.column("bits").combine_chunks()
+    flat, off = maps.flatten().to_numpy(), maps.offsets.to_numpy()
+    off = off - off[0]
+    least = int(np.diff(off).min())
+    bits = np.stack([np.bitwise_xor.reduce(flat[a:b].reshape(-1, least), axis=0) for a, b in zip(off[:-1], off[1:], strict=True)])
+    odd = np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32)
+    each = odd.sum(axis=1)
+    differ = each[:, None] + each[None, :] - 2 * (odd @ odd.T)
+    total = n[:, None] + n[None, :]
+    ok = differ <= total - 2 * -(-num * total // (num + den)) + 0.5
+    ok &= den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :])
+    ok &= label[:, None] != label[None, :]
+    if across:
+        side = np.array(table.column("side").to_pylist())
+        ok &= side[:, None] != side[None, :]
+    return table.select(["block", "id", "label", "side"]).filter(pa.array(ok.any(axis=1)))
+
+
+def _candidates_of(num: int, den: int, across: bool):
+    return lambda table: _block_candidates(table, num, den, across)
+
+
 def _edges_of(num: int, den: int, across: bool):
     return lambda table: _block_edges(table, num, den, across)
 
@@ -348,24 +399,37 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     mean = float(counts.mean())
     limit = mean + 8 * math.sqrt(mean) + FREQUENT
     shared = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
-    sigs = stored(plain.select("text").mapInArrow(lambda it: _signature_pass(it, width, seed, shared.value, limit, num, den), "sig long, id long, n int, at int"), "ngram-signatures")
-    several = stored(sigs.groupBy("sig").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x != y").select(F.col("sig").alias("s")), "ngram-shared")
+    sigs = stored(plain.select("text").mapInArrow(lambda it: _signature_pass(it, width, seed, shared.value, limit, num, den), "bucket long, id long, n int, at int"), "ngram-signatures")
+
+    def fit_sizes(n, m, room):
+        """Whether sets of sizes n and m can link if they share at most ``room``."""
+        return (F.lit(den) * F.least(n, m) >= F.lit(num) * F.greatest(n, m)) & (room >= F.ceil(F.lit(num) * (n + m) / F.lit(num + den) - 1e-6))
+
+    n0, n1, room = F.min("n").alias("n0"), F.max("n").alias("n1"), F.min(F.col("n") - F.col("at")).alias("room")
+    two = fit_sizes(F.col("n0"), F.col("n1"), F.col("room"))
+    # a bucket of two rows is decided here, as most that share a token by chance can't link
+    several = stored(sigs.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("c"), n0, n1, room).filter((F.col("x") != F.col("y")) & ((F.col("c") > 2) | two)).select(F.col("bucket").alias("s")), "ngram-shared")
     words = stored(filter_words(several, "s"), "ngram-filter")
-    maybe = maybe_in(sigs, words, "m", "sig").filter("m").drop("m")
-    # in size bands: a set stands in its own and the next
-    grow = math.log(den / num) * 1.0001  # a margin for rounding
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(grow)).cast("int")
-    members = maybe.join(several, F.col("sig") == F.col("s"), "left_semi").withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("sig", "band").alias("bucket"), "id", "n", "at")
+    maybe = maybe_in(sigs, words, "m", "bucket").filter("m").drop("m")
+    members = maybe.join(several, F.col("bucket") == F.col("s"), "left_semi")
     members = stored(members.groupBy("bucket", "id").agg(F.min("n").alias("n"), F.min("at").alias("at")), "ngram-members")
     forget(sigs, several)
     hubs = members.groupBy("bucket").agg(F.min(F.struct("at", "id", "n")).alias("hub"), F.count("*").alias("g")).filter("g > 1").select(F.col("bucket").alias("k"), F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at"), "g")
     hubs = stored(hubs, "ngram-hubs")
-    least_both = F.ceil(F.lit(num) * (F.col("n") + F.col("hub_n")) / F.lit(num + den) - 1e-6)
-    fits = (F.lit(den) * F.least("n", "hub_n") >= F.lit(num) * F.greatest("n", "hub_n")) & (F.col("n") - F.col("at") >= least_both) & (F.col("hub_n") - F.col("hub_at") >= least_both)
-    pairs = members.join(hubs, F.col("bucket") == F.col("k")).filter((F.col("id") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    fits = fit_sizes(F.col("n"), F.col("hub_n"), F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at")))
+    pairs = members.join(hubs, F.col("bucket") == F.col("k")).filter((F.col("id") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    # the hub meets all; buckets of two are done; two others are a pair more; of the rest, those that no other can meet go
+    rest = members.join(hubs.filter("g > 2").select("k", "hub"), F.col("bucket") == F.col("k")).filter(F.col("id") != F.col("hub")).select("bucket", "id", "n", "at")
+    rest = stored(rest, "ngram-rest")
+    span = stored(rest.groupBy("bucket").agg(n0, n1, room, F.count("*").alias("c"), F.min("id").alias("x"), F.max("id").alias("y")).withColumnRenamed("bucket", "k"), "ngram-spans")
+    more = span.filter((F.col("c") == 2) & two).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = pairs.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    top = F.least(F.col("n") * (den / num), (F.col("n") - F.col("at")) * ((num + den) / num) - F.col("n")) + 1e-6
+    others = rest.withColumn("lo", F.col("n") * (num / den) - 1e-6).withColumn("hi", top).join(span.filter("c > 2").select("k", "n0", "n1"), F.col("bucket") == F.col("k"))
+    others = stored(others.filter("hi >= n0 and lo <= n1").select("bucket", "id", "n"), "ngram-others")
     # a bound from parity maps, so that most pairs never need their sets
     na, nb = (nodes.select(F.col("d1").alias(f"i{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"p{x}")) for x in "ab")
-    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    differ = parity_difference(F.col("pa"), F.col("pb"))
     most = F.col("na") + F.col("nb") - 2 * F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den) - 1e-6)
     pairs = stored(pairs.join(nb, F.col("b") == F.col("ib")).join(na, F.col("a") == F.col("ia")).filter(differ <= most).select("a", "b"), "ngram-pairs")
 
@@ -382,16 +446,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     near = pairs.join(tb, F.col("b") == F.col("ib")).join(ta, F.col("a") == F.col("ia")).withColumn("both", both).filter(F.lit(den) * F.col("both") >= F.lit(num) * (F.size("ta") + F.size("tb") - F.col("both")))
     links = stored(near.select("a", "b").distinct(), "ngram-links")
     forget(sets, pairs)
-    # the hub has met all; buckets of two are done; then those that no other member can meet go
-    rest = members.join(hubs.filter("g > 2").select("k", "hub"), F.col("bucket") == F.col("k")).filter(F.col("id") != F.col("hub")).select("bucket", "id", "n", "at")
-    top = F.least(F.col("n") * (den / num), (F.col("n") - F.col("at")) * ((num + den) / num) - F.col("n")) + 1e-6
-    rest = rest.withColumn("lo", F.col("n") * (num / den) - 1e-6).withColumn("hi", top)
-    span = rest.groupBy("bucket").agg(F.min("n").alias("n0"), F.max("n").alias("n1")).withColumnRenamed("bucket", "k")
-    rest = stored(rest.join(span, F.col("bucket") == F.col("k")).filter("hi >= n0 and lo <= n1").select("bucket", "id", "n"), "ngram-rest")
-    forget(members, hubs)
+    forget(members, hubs, rest, span)
     for across in (False, True):
         label = components(links)
-        named = rest.join(label.select(F.col("id").alias("l"), "label"), F.col("id") == F.col("l"), "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
+        named = others.join(label.select(F.col("id").alias("l"), "label"), F.col("id") == F.col("l"), "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
         named = stored(named, "ngram-labels")
         # one of the buckets with equal members stands for all of them
         open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("g"), F.sum("n").alias("t"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("f1"), F.sum(F.hash("id").cast("long")).alias("f2")).filter("lo != hi")
@@ -399,16 +457,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         open_ = stored(open_.filter("m > 1").select("k", "m") if across else open_.select("k", "m"), "ngram-open")
         placed = named.join(open_, F.col("bucket") == F.col("k")).withColumn("c", F.pmod(F.xxhash64("id", F.lit(7)), F.col("m")).cast("int"))
         if not across:
-            sets = sets_of(placed.select("id").distinct())
             placed = placed.withColumn("block", F.xxhash64("bucket", "c")).withColumn("side", F.lit(True))
         else:
             other = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
             placed = placed.withColumn("o", other).filter("o != c").withColumn("block", F.xxhash64("bucket", F.least("c", "o"), F.greatest("c", "o"))).withColumn("side", F.col("c") < F.col("o"))
-        filled = placed.select("block", "id", "label", "side").join(sets.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select("block", "id", "label", "side", "tokens")
+        # parity maps first: sets move only for those that may link within their block
+        mapped = placed.select("block", "id", "n", "label", "side").join(nodes.select(F.col("d1").alias("i"), "bits"), F.col("id") == F.col("i")).drop("i")
+        some = stored(mapped.groupBy("block").applyInArrow(_candidates_of(num, den, across), "block long, id long, label long, side boolean"), "ngram-candidates")
+        sets = sets_of(some.select("id").distinct())
+        filled = some.join(sets.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select("block", "id", "label", "side", "tokens")
         more = filled.groupBy("block").applyInArrow(_edges_of(num, den, across), "a long, b long")
         links = stored(links.unionByName(more).distinct(), "ngram-links")
-        forget(named)
-    forget(sets, rest)
+        forget(named, some, sets)
+    forget(others)
     label = components(links)
     least = nodes.select(F.col("d1").alias("d"), "least", "copies")
     full = least.join(label, F.col("d") == F.col("id"), "left").withColumn("label", F.coalesce("label", "d"))
