@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import ship, stored, tidied
 
 #: Bytes of text of a block; a longer text is a block of its own.
 BLOCK_BYTES = 6 << 20
@@ -264,9 +264,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
 
     key_type = to_arrow_type(kind)
     schema = "block string, part int, payload binary"
-    sequences = plain.mapInArrow(lambda it: _blocks(it, pattern, parts, True), schema)
-    words = plain.mapInArrow(lambda it: _blocks(it, pattern, parts, False), schema)
-    answers = words.repartition(parts, "part").mapInArrow(lambda it: _encode_words(it, ranks_path, pattern), schema)
+    sequences = plain.mapInArrow(lambda it: tidied(_blocks(it, pattern, parts, True)), schema)
+    words = plain.mapInArrow(lambda it: tidied(_blocks(it, pattern, parts, False)), schema)
+    answers = words.repartition(parts, "part").mapInArrow(lambda it: tidied(_encode_words(it, ranks_path, pattern)), schema)
     whole = sequences.unionByName(answers).groupBy("block").applyInArrow(lambda t: _reassemble(t, key_type), f"__key {kind.simpleString()}, n_tokens long, ids binary")
     return whole.withColumnRenamed("__key", key)
 
@@ -287,4 +287,4 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "de
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.binary())], names=[*b.schema.names, "__d"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", __d binary"
-    return plain.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("__d").alias(out))
+    return plain.mapInArrow(lambda it: tidied(run(it)), schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("__d").alias(out))

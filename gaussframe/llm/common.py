@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 FILTER_WORDS = 1 << 17
 
 #: Bytes of text that Arrow hands to a Python worker at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 _shipped: set[str] = set()
 _own_dir: dict[str, str] = {}
@@ -64,6 +67,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+def tidied(rows: Iterator) -> Iterator:
+    """Rows of a worker's task; its freed memory goes back to the system at the end, as workers live on."""
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

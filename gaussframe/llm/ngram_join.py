@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_words, forget, maybe_in, ship, stored
+from .common import filter_words, forget, maybe_in, ship, stored, tidied
 
 #: Counters of the frequency sketch (2**20, 4 MB), whatever the input.
 COUNTER_BITS = 20
@@ -44,7 +44,7 @@ FREQUENT = 300
 #: Members and tokens of a block.
 BLOCK_SETS, BLOCK_TOKENS = 1024, 1_000_000
 #: Words whose hashes a worker remembers before it starts anew.
-REMEMBERED = 120_000
+REMEMBERED = 40_000
 #: Least cells of the parity map of a set, which bounds the difference of two sets from below.
 PARITY = 1024
 
@@ -174,8 +174,8 @@ def signatures(s: np.ndarray, counts: np.ndarray, limit: float, starts: np.ndarr
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
-        for a in range(0, b.num_rows, 512):
-            part = b.slice(a, 512)
+        for a in range(0, b.num_rows, 128):
+            part = b.slice(a, 128)
             yield part, part.column(part.num_columns - 1).to_pylist()
 
 
@@ -381,7 +381,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     key_type = plain.schema[0].dataType.simpleString()
     for seed in range(100):
-        first = stored(plain.mapInArrow(lambda it, seed=seed: _first_pass(it, width, seed), f"key {key_type}, n long, d1 long, d2 long, bits array<long>, slice int, counts binary"), "ngram-docs")
+        first = stored(plain.mapInArrow(lambda it, seed=seed: tidied(_first_pass(it, width, seed)), f"key {key_type}, n long, d1 long, d2 long, bits array<long>, slice int, counts binary"), "ngram-docs")
         rows = first.filter("slice is null").select("key", "n", "d1", "d2", "bits")
         # equal sets: one node
         nodes = stored(rows.filter("n > 0").groupBy("d1").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), (F.min("d2") != F.max("d2")).alias("twice"), F.first("bits").alias("bits")), "ngram-nodes")
@@ -399,7 +399,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     mean = float(counts.mean())
     limit = mean + 8 * math.sqrt(mean) + FREQUENT
     shared = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
-    sigs = stored(plain.select("text").mapInArrow(lambda it: _signature_pass(it, width, seed, shared.value, limit, num, den), "bucket long, id long, n int, at int"), "ngram-signatures")
+    sigs = stored(plain.select("text").mapInArrow(lambda it: tidied(_signature_pass(it, width, seed, shared.value, limit, num, den)), "bucket long, id long, n int, at int"), "ngram-signatures")
 
     def fit_sizes(n, m, room):
         """Whether sets of sizes n and m can link if they share at most ``room``."""
@@ -438,7 +438,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         least = ids.join(nodes.select(F.col("d1").alias("d"), "least"), F.col("id") == F.col("d")).select("least")
         few = stored(filter_words(least, "least"), "ngram-filter")
         chosen = maybe_in(plain, few, "m", "key").filter("m or key is null").select("text")
-        return stored(chosen.mapInArrow(lambda it: _set_pass(it, width, seed), "id long, tokens array<long>"), "ngram-sets")
+        return stored(chosen.mapInArrow(lambda it: tidied(_set_pass(it, width, seed)), "id long, tokens array<long>"), "ngram-sets")
 
     sets = sets_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     ta, tb = sets.select(F.col("id").alias("ia"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("ib"), F.col("tokens").alias("tb"))

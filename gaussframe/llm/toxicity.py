@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidied
 
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
 SPAN, DECAY = 6, 0.6
@@ -42,7 +42,7 @@ NEAR = 0.2
 #: Longer words are scored in windows.
 WORD, STEP = 24, 12
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 80_000
+REMEMBERED = 40_000
 
 _ALPHABET = 64
 _GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -321,11 +321,11 @@ def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "tex
     def run(batches):
         own = model.value
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
+            for a in range(0, b.num_rows, 128):
+                part = b.slice(a, 128)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.documents(part.column(1).to_pylist()), pa.float64())], names=["k", "score"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, score double").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(lambda it: tidied(run(it)), f"k {kind}, score double").withColumnRenamed("k", key)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
