@@ -221,3 +221,14 @@ def test_pipeline_stages(spark):
     assert set(got.doc_id) <= {r.doc_id for r in docs.select("doc_id").collect()} and len(got)
     texts = {hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()}
     assert set(got.decoded_sha256) <= texts
+
+
+@pytest.mark.parametrize(("a", "b"), [(5000, 4900), (5000, 4000), (300, 290), (1100, 1000)])
+def test_parity_maps_never_exceed_the_difference(a, b):
+    r = np.random.default_rng(a + b)
+    s = np.unique(r.integers(0, 2**63, a).astype(np.uint64))
+    t = np.unique(np.concatenate([s[: b - 50], r.integers(0, 2**63, 50).astype(np.uint64)]))
+    x, y = (ngram_join.parity(v).view(np.uint64) for v in (s, t))
+    least = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, least), axis=0) for v in (x, y))
+    assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(s, t))
