@@ -14,6 +14,8 @@ all or once; rows that repeat get equal scores.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,17 +40,15 @@ def features(text: str | None) -> list[float]:
     count = np.bincount(np.frombuffer(b, np.uint8), minlength=256)
     share = {k: count[np.frombuffer(v, np.uint8)].sum() / n for k, v in _KINDS.items()}
     low = [w.lower() for w in words]
-    distinct = set(low)
-    # the most frequent word among a few candidates: those that stand at fixed places
-    top = max((low.count(w) for w in {low[i * len(low) // 8] for i in range(8)}), default=0) if low else 0
+    times = Counter(low)
     lines = [x for x in b.split(b"\n") if x.strip()]
     lens = np.fromiter(map(len, words), np.int64, len(words))
     return [
         np.log1p(len(b)),
         np.log1p(len(words)),
         float(lens.mean()) if len(lens) else 0.0,
-        len(distinct) / m / (1 + 0.05 * np.log1p(m)) if words else 0.0,
-        top / m,
+        len(times) / m / (1 + 0.05 * np.log1p(m)) if words else 0.0,
+        max(times.values(), default=0) / m,
         sum(x == y for x, y in zip(low, low[1:])) / m,
         share["upper"],
         share["digits"],

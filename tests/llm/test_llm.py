@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gaussframe.llm import byte_bpe, exact_dedup, licenses, matroska, mixing, ngram_join, pii, toxicity, token_counts
+from gaussframe.llm import byte_bpe, exact_dedup, licenses, matroska, mixing, ngram_join, pii, quality, toxicity, token_counts
 
 SCHEMA = "doc_id long, text string, source string, n long, c0 string"
 LONG = "some words that go on " * 3000
@@ -232,3 +232,13 @@ def test_parity_maps_never_exceed_the_difference(a, b):
     least = min(len(x), len(y))
     x, y = (np.bitwise_xor.reduce(v.reshape(-1, least), axis=0) for v in (x, y))
     assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(s, t))
+
+
+@pytest.mark.parametrize("place", [1, 13, 63])
+def test_quality_top_word_counts_every_word(place):
+    # the frequent word stands at none of the first places of the text's eighths
+    words = [f"w{i}" for i in range(80)]
+    words[place : place + 5] = ["Spam", "spam", "SPAM", "spam", "spam"]
+    top = quality.FEATURES.index("top_word")
+    assert quality.features(" ".join(words))[top] == 5 / 80
+    assert quality.features(None)[top] == quality.features(" \n")[top] == 0
