@@ -12,18 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaussframe.llm import byte_bpe, exact_dedup, mixing, ngram_join, toxicity
-from gaussframe.llm.common import filter_words, maybe_in, stored, table
+from gaussframe.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score 0.5 or more) go.  It learns from all labels of its input's folder."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    # a null key can't be looked up: such rows are scored by themselves
-    gone = stored(scored.filter((F.col("score") >= 0.5) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct(), "toxic")
-    flagged = maybe_in(docs, stored(filter_words(gone, "__gone"), "toxic-filter"), "__m", "doc_id")
-    names = docs.columns
-    rest = flagged.filter("__m").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return flagged.filter("not __m").select(*names).unionByName(rest.select(*names))
+    """Rows that the classifier rejects (own score 0.5 or more) go.  It learns from all labels of its input's folder."""
+    return toxicity.below(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 on five-word shingles, the one with the smallest doc_id stays."""
+    """Of documents linked by a similarity of 0.8 on five-word shingles, the row with the smallest doc_id stays (a null one last)."""
     return ngram_join.keep_one(docs, width=5, num=80, den=100)
 
 

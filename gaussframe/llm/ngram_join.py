@@ -483,12 +483,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` but those with a smaller key in their component."""
-    found = jaccard_components(docs, key, text, width, num, den)
-    gone = stored(found.filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("__gone")).distinct(), "ngram-gone")
-    words = stored(filter_words(gone, "__gone"), "ngram-filter")
-    flagged = maybe_in(docs, words, "__m", key)
+    """The rows of ``docs`` that stay: of each component the row with the smallest key, a null one last.
+
+    Every row is told by a stored id, so rows with a null key and rows that share one are told apart.
+    """
     names_ = docs.columns
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "ngram-rows")
+    k = F.col(f"`{key}`")
+    own = F.struct(k.isNull().alias("none"), k.alias("key"), F.col("__row").alias("row"))
+    found = jaccard_components(rows.select(own.alias("own"), F.col(f"`{text}`").alias("text")), "own", "text", width, num, den)
+    gone = stored(found.filter("component_id != own").select(F.col("own.row").alias("__gone")), "ngram-gone")
+    words = stored(filter_words(gone, "__gone"), "ngram-filter")
+    flagged = maybe_in(rows, words, "__m", "__row")
     sure = flagged.filter("not __m").select(*(F.col(f"`{c}`") for c in names_))
-    rest = flagged.filter("__m").join(gone, F.col(f"`{key}`") == F.col("__gone"), "left_anti").select(*(F.col(f"`{c}`") for c in names_))
+    rest = flagged.filter("__m").join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*(F.col(f"`{c}`") for c in names_))
     return sure.unionByName(rest)

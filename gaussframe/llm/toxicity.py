@@ -328,7 +328,29 @@ def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "tex
     return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(lambda it: tidied(run(it)), f"k {kind}, score double").withColumnRenamed("k", key)
 
 
+def learned(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Scorer:
+    """Learn from the labelled rows with ``learn`` (a condition on the key as ``__k``)."""
+    rows, share = sample(docs, labels, label, learn if learn is not None else F.lit(True), key, text)
+    return fit([r.t for r in rows], [r.y for r in rows], share)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """Learn from the labelled rows with ``learn`` (a condition on the key as ``__k``), then score every document."""
-    rows, share = sample(docs, labels, label, learn if learn is not None else F.lit(True), key, text)
-    return score(docs, fit([r.t for r in rows], [r.y for r in rows], share), key, text)
+    return score(docs, learned(docs, labels, learn, key, text, label), key, text)
+
+
+def below(docs: DataFrame, scorer: Scorer, limit: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own score is under ``limit``, whatever their key."""
+    spark = docs.sparkSession
+    ship(spark)
+    model = spark.sparkContext.broadcast(scorer)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        own = model.value
+        for b in batches:
+            for a in range(0, b.num_rows, 128):
+                part = b.slice(a, 128)
+                yield part.filter(pa.array(own.documents(part.column(at).to_pylist()) < limit))
+
+    return docs.mapInArrow(lambda it: tidied(run(it)), docs.schema)

@@ -242,3 +242,34 @@ def test_quality_top_word_counts_every_word(place):
     top = quality.FEATURES.index("top_word")
     assert quality.features(" ".join(words))[top] == 5 / 80
     assert quality.features(None)[top] == quality.features(" \n")[top] == 0
+
+
+def test_pipeline_toxicity_decides_by_row(spark, tmp_path):
+    import corpus_pipeline as C
+
+    rest = "you are such a friend by the quiet river and the trees of house number"
+    rows = [(i, f"{rest} {i}{' idiot' if i % 2 else ''}") for i in range(400)]
+    spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    # toxic rows without a key, and clean rows that share a rejected row's key or have none
+    more = [(None, f"{rest} x idiot"), (None, f"{rest} y idiot"), (None, f"{rest} z"), (1, f"{rest} one"), (None, None)]
+    df = spark.createDataFrame([(i, t, [1], "é") for i, t in rows + more], "doc_id long, text string, more array<int>, `an other` string").withColumn("at", F.lit("2020-01-01").cast("timestamp")).withColumn("s", F.struct(F.lit(1).alias("a")))
+    got = C.drop_toxic(spark, df, str(tmp_path))
+    assert got.columns == df.columns
+    want = sorted([(i, t) for i, t in rows + more if "idiot" not in (t or "")], key=str)
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == want
+    assert got.select("more", "an other", "at", "s").distinct().collect() == df.select("more", "an other", "at", "s").distinct().collect()
+
+
+def test_ngram_keep_one_decides_by_row(spark, none):
+    other = " ".join(f"v{i}" for i in range(300))
+    lone = " ".join(f"u{i}" for i in range(300))
+    # groups: all keys null; a shared smallest key; null beside a key; then rows that stay alone
+    rows = [(None, other, "a"), (None, other.replace("v150", "zz"), "b"), (None, other.replace("v7 ", "q "), "c")]
+    rows += [(4, BASE, "d"), (4, BASE.replace("w150", "zz"), "e"), (9, BASE.replace("w7 ", "q "), "f"), (None, BASE.replace("w9 ", "q "), "g"), (4, BASE, "h")]
+    rows += [(4, lone, "i"), (9, "a b", "j"), (None, None, "k"), (None, " ", "l"), (4, "", "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `c 0` string").repartition(3)
+    got = ngram_join.keep_one(df)
+    kept = {r["c 0"] for r in got.collect()}
+    assert got.columns == df.columns and got.count() == len(kept)
+    assert len(kept & set("abc")) == 1 and len(kept & set("deh")) == 1 and not kept & set("fg") and set("ijklm") <= kept
+    assert ngram_join.keep_one(none).count() == 0
