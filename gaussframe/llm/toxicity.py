@@ -12,17 +12,23 @@ triple of characters, so that scoring a word is a few table lookups, kept in a c
 A document's score is a calibrated function of its three highest words.
 
 Learning uses at most ``SAMPLE`` labelled documents of each class, of at most ``SAMPLE_CHARS``
-characters, taken by a hash of the key; scoring reads every whole text.
+characters, taken by a hash of the key.  Within this sample, landmarks come from the ``CANDIDATES``
+runs that tell the classes apart best, and of the words that are near no toxic landmark a seeded
+``BACKGROUND`` (or ``BACKGROUND_SHARE`` of them, if that is more) stand for all.  Nothing else is
+bounded: scoring reads every whole text.
 
 Defined results: null and empty texts get the score of no words; with labels of one class only, all
-scores are 0 or 1 by that class, without labels 0; null labels, labels without a document and
-labels that repeat count not at all or once; rows that repeat get equal scores.
+scores are 0 or 1 by that class, without labels 0; null labels, labels without a document and labels
+that contradict each other don't count, labels that repeat count once, with the least of a key's texts;
+rows that repeat get equal scores; no documents, no rows; other columns play no part, and ``below``
+keeps them.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,8 @@ TOXIC_LANDMARKS, OTHER_LANDMARKS = 96, 48
 #: Lengths of the runs that may become landmarks, and the kernel value under which two are apart.
 RUNS, APART = (4, 5, 6, 8), 0.5
 ROUNDS, PENALTY = 4, 1.0
+#: Runs of the sample that are compared as landmarks, and words of the sample that stand for all far ones.
+CANDIDATES, BACKGROUND, BACKGROUND_SHARE = 4000, 5000, 0.02
 #: Training words this near a toxic landmark can be a document's most toxic word.
 NEAR = 0.2
 #: Longer words are scored in windows.
@@ -207,7 +215,7 @@ def _landmarks(docs: list[list[str]], y: np.ndarray) -> tuple[list[str], list[st
     n1, n0 = int(y.sum()), int((1 - y).sum())
     # the lower end of the log odds' range: rare runs don't win by chance
     score = {g: np.log((c + 0.5) / (n1 + 1)) - np.log((hit[0][g] + 0.5) / (n0 + 1)) - 2 * np.sqrt(1 / (c + 0.5) + 1 / (hit[0][g] + 0.5)) for g, c in hit[1].items() if c > 1}
-    ranked = sorted((g for g in score if score[g] > 0), key=lambda g: (-score[g] * np.sqrt(hit[1][g]), -len(g), g))[:4000]
+    ranked = sorted((g for g in score if score[g] > 0), key=lambda g: (-score[g] * np.sqrt(hit[1][g]), -len(g), g))[:CANDIDATES]
     chosen: list[str] = []
     near = np.zeros(len(ranked))
     while len(chosen) < TOXIC_LANDMARKS and (near < APART).any():
@@ -238,7 +246,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Scor
     r = np.random.default_rng(5)
     for a in range(0, len(every), 20_000):
         k = kernel_matrix(every[a : a + 20_000], landmarks)
-        some = (k[:, : len(toxic)].max(axis=1) >= NEAR) | (r.random(len(k)) < max(0.02, 5000 / len(every)))
+        some = (k[:, : len(toxic)].max(axis=1) >= NEAR) | (r.random(len(k)) < max(BACKGROUND_SHARE, BACKGROUND / len(every)))
         kept.append(np.flatnonzero(some) + a)
         parts.append(k[some].astype(np.float32))
     k, kept = np.concatenate(parts), np.concatenate(kept)
@@ -299,16 +307,31 @@ def remainder(key: Column, of: int) -> Column:
     return F.crc32(key.cast("string")) % of
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, key: str = "doc_id", text: str = "text", most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list, float | None]:
-    """At most ``most`` (text, label) rows of each class with ``learn``, by a hash of the key; and the share of label 1."""
-    known = labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("__k").isNotNull()).filter(learn).dropDuplicates(["__k"])
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, key: str = "doc_id", text: str = "text", most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[DataFrame, float | None]:
+    """At most ``most`` (t, y) rows of each class with ``learn``, by a hash of the key; and the share of label 1.
+
+    Equal inputs give equal samples: labels that contradict each other don't count, and of several texts of a key
+    the least is taken.
+    """
+    given = labels.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{label}`").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("__k").isNotNull()).filter(learn)
+    known = given.groupBy("__k").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("__k", "y")
     order = [F.xxhash64("__k"), F.col("__k")]
     few = known.filter("y = 1").orderBy(*order).limit(most).unionByName(known.filter("y = 0").orderBy(*order).limit(most))
-    short = docs.select(F.col(key).alias("__d"), F.col(text).cast("string").alias("t")).filter(F.length("t") <= chars)
+    short = docs.select(F.col(f"`{key}`").alias("__d"), F.col(f"`{text}`").cast("string").alias("t")).filter(F.length("t") <= chars)
     # at most twice ``most`` keys are broadcast
-    return short.join(F.broadcast(few), F.col("__d") == F.col("__k")).dropDuplicates(["__d"]).orderBy("__d").select("t", "y").collect(), known.agg(F.avg("y")).first()[0]
+    found = short.join(F.broadcast(few), F.col("__d") == F.col("__k")).groupBy("__d").agg(F.min("t").alias("t"), F.first("y").alias("y"))
+    return found, known.agg(F.avg("y")).first()[0]
 
 
+def _scored(batches: Iterator[pa.RecordBatch], own: Scorer, at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Parts of the batches and their scores; the words that the task remembers go with it."""
+    try:
+        for b in batches:
+            for a in range(0, b.num_rows, 128):
+                part = b.slice(a, 128)
+                yield part, own.documents(part.column(at).to_pylist())
+    finally:
+        own.cache = {}
 
 
 def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,18 +342,16 @@ def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "tex
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        own = model.value
-        for b in batches:
-            for a in range(0, b.num_rows, 128):
-                part = b.slice(a, 128)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.documents(part.column(1).to_pylist()), pa.float64())], names=["k", "score"])
+        for part, scores in _scored(batches, model.value, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["k", "score"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(lambda it: tidied(run(it)), f"k {kind}, score double").withColumnRenamed("k", key)
+    return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(lambda it: tidied(run(it)), f"k {kind}, score double").withColumnRenamed("k", key)
 
 
 def learned(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Scorer:
     """Learn from the labelled rows with ``learn`` (a condition on the key as ``__k``)."""
-    rows, share = sample(docs, labels, label, learn if learn is not None else F.lit(True), key, text)
+    chosen, share = sample(docs, labels, label, learn if learn is not None else F.lit(True), key, text)
+    rows = chosen.orderBy("__d").collect()
     return fit([r.t for r in rows], [r.y for r in rows], share)
 
 
@@ -347,10 +368,7 @@ def below(docs: DataFrame, scorer: Scorer, limit: float = 0.5, text: str = "text
     at = docs.columns.index(text)
 
     def run(batches):
-        own = model.value
-        for b in batches:
-            for a in range(0, b.num_rows, 128):
-                part = b.slice(a, 128)
-                yield part.filter(pa.array(own.documents(part.column(at).to_pylist()) < limit))
+        for part, scores in _scored(batches, model.value, at):
+            yield part.filter(pa.array(scores < limit))
 
     return docs.mapInArrow(lambda it: tidied(run(it)), docs.schema)
