@@ -1,15 +1,18 @@
 """Quality: a generalised additive model with pairwise interactions, as lookup tables.
 
 Features of a text are counts of its bytes and words.  Each is cut at quantiles of the training rows
-into ``BINS`` bins.  Shallow trees on one feature at a time, boosted in cycles at a small rate, add up
-to one table a feature; then trees on the ``PAIRS`` pairs of features that explain most of what is
-left add up to one coarse table a pair.  A document's log odds are the sum of its bins' entries.
+into ``BINS`` bins.  Shallow trees (``LEAVES`` leaves) on one feature at a time, boosted in cycles at a
+small rate, add up to one table a feature; then shallow trees on two features, for the ``PAIRS`` pairs
+whose tree explains most of what is left, add up to one coarse table a pair.  A document's log odds
+are the sum of its bins' entries.
 
-Learning uses at most ``SAMPLE`` labelled documents of each class; scoring reads every whole text.
+Learning uses at most ``SAMPLE`` labelled documents of each class, of at most ``SAMPLE_CHARS``
+characters, of which only the features reach the driver; scoring reads every whole text.
 
 Defined results: null and empty texts have the features of no words; with labels of one class only,
-all scores are 0 or 1 by that class, without labels 0; labels that are null, repeat or lack a document count not at
-all or once; rows that repeat get equal scores.
+all scores are 0 or 1 by that class, without labels 0; labels that are null, contradict each other or
+lack a document don't count, labels that repeat count once; rows that repeat get equal scores; no
+documents, no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidied
 from .toxicity import sample
 
 SAMPLE, SAMPLE_CHARS = 4000, 50_000
@@ -93,6 +96,40 @@ def _shallow(b: np.ndarray, n: int, grad: np.ndarray, hess: np.ndarray) -> np.nd
     return out
 
 
+def _shallow_pair(g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
+    """A tree on two binned features with up to ``LEAVES`` leaves, as a table, and what it gains.
+
+    ``g`` and ``h`` are the gradient and curvature of each pair of bins; a leaf is a rectangle of them.
+    """
+    n, m = g.shape
+    sums = []
+    for x in (g, h):
+        s = np.zeros((n + 1, m + 1))
+        s[1:, 1:] = x.cumsum(0).cumsum(1)
+        sums.append(s.tolist())
+
+    def total(s: list, a: int, z: int, c: int, e: int) -> float:
+        return s[z][e] - s[a][e] - s[z][c] + s[a][c]
+
+    def worth(*r: int) -> float:
+        return total(sums[0], *r) ** 2 / (total(sums[1], *r) + 5.0)
+
+    leaves, gained = [(0, n, 0, m)], 0.0
+    while len(leaves) < LEAVES:
+        splits = [((a, k, c, e), (k, z, c, e), (a, z, c, e)) for a, z, c, e in leaves for k in range(a + 1, z)]
+        splits += [((a, z, c, k), (a, z, k, e), (a, z, c, e)) for a, z, c, e in leaves for k in range(c + 1, e)]
+        best = max(((worth(*x) + worth(*y) - worth(*r), i) for i, (x, y, r) in enumerate(splits)), default=(0.0, -1))
+        if best[0] <= 1e-9:
+            break
+        x, y, r = splits[best[1]]
+        leaves[leaves.index(r) : leaves.index(r) + 1] = [x, y]
+        gained += best[0]
+    out = np.zeros((n, m))
+    for a, z, c, e in leaves:
+        out[a:z, c:e] = total(sums[0], a, z, c, e) / (total(sums[1], a, z, c, e) + 5.0)
+    return out, gained
+
+
 class Gam:
     """Edges and tables; ``constant`` where there was nothing to learn from."""
 
@@ -141,17 +178,16 @@ def fit(x: np.ndarray, y: np.ndarray, share: float | None = None) -> Gam:
     pb = binned(x, gam.pair_edges)
     n = PAIR_BINS
 
-    def cell(i: int, j: int, f: np.ndarray) -> np.ndarray:
+    def tree(i: int, j: int) -> tuple[np.ndarray, float]:
         p = 1 / (1 + np.exp(-f))
         c = pb[:, i] * n + pb[:, j]
-        g, h = np.bincount(c, weight * (y - p), n * n), np.bincount(c, weight * p * (1 - p), n * n)
-        return (g / (h + 5.0)).reshape(n, n), float((g**2 / (h + 5.0)).sum())
+        return _shallow_pair(np.bincount(c, weight * (y - p), n * n).reshape(n, n), np.bincount(c, weight * p * (1 - p), n * n).reshape(n, n))
 
-    ranked = sorted(((-cell(i, j, f)[1], i, j) for i in range(x.shape[1]) for j in range(i)))[:PAIRS]
+    ranked = sorted((-tree(i, j)[1], i, j) for i in range(x.shape[1]) for j in range(i))[:PAIRS]
     tables = {(i, j): np.zeros((n, n)) for _, i, j in ranked}
     for _ in range(CYCLES // 3):
         for (i, j), t in tables.items():
-            step = RATE * cell(i, j, f)[0]
+            step = RATE * tree(i, j)[0]
             t += step
             f += step[pb[:, i], pb[:, j]]
     gam.pairs = [(i, j, t) for (i, j), t in tables.items()]
@@ -162,17 +198,26 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key
     """Learn from the labelled rows with ``learn`` (a condition on the key as ``__k``); key and score of every document."""
     spark = docs.sparkSession
     ship(spark)
-    rows, share = sample(docs, labels, label, learn if learn is not None else F.lit(True), key, text, SAMPLE, SAMPLE_CHARS)
-    model = fit(np.array([features(r.t) for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows], float), share)
-    sent = spark.sparkContext.broadcast(model)
+    chosen, share = sample(docs, labels, label, learn if learn is not None else F.lit(True), key, text, SAMPLE, SAMPLE_CHARS)
+
+    def described(batches, cut=512):
+        for b in batches:
+            for a in range(0, b.num_rows, cut):
+                part = b.slice(a, cut)
+                yield part, np.array([features(t) for t in part.column(1).to_pylist()]).reshape(part.num_rows, len(FEATURES))
+
+    def learn_from(batches):
+        for part, x in described(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64())), part.column(2)], names=["k", "x", "y"])
+
     kind = docs.schema[key].dataType.simpleString()
+    rows = sorted(chosen.select("__d", "t", "y").mapInArrow(learn_from, f"k {kind}, x array<double>, y int").collect(), key=lambda r: r.k)
+    model = fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows], float), share)
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
         own = sent.value
-        for b in batches:
-            for a in range(0, b.num_rows, 512):
-                part = b.slice(a, 512)
-                x = np.array([features(t) for t in part.column(1).to_pylist()]).reshape(part.num_rows, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.scores(x), pa.float64())], names=["k", "score"])
+        for part, x in described(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.scores(x), pa.float64())], names=["k", "score"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, score double").withColumnRenamed("k", key)
+    return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(lambda it: tidied(run(it)), f"k {kind}, score double").withColumnRenamed("k", key)
