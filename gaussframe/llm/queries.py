@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 from .common import table
 
 
@@ -23,7 +23,7 @@ def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(i: int):
         return F.size(F.filter("__base", lambda c: c["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
 
-    return found.select("doc_id", *(count(i) for i in range(len(KINDS))), F.sha2(joined(F.col("__base")), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"))
+    return found.select("doc_id", *(count(i) for i in range(len(KINDS))), F.sha2(joined(F.col("__base")), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"), F.size("__spans").cast("long").alias("n_spans"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +65,10 @@ def op6_license_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix, standard_quotas
+    from .mixing import mix_table
 
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), standard_quotas)
-    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    mixed = mix_table(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +95,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii_boosting, op2_exact_dedup, op3_matroska_packets, op4_toxicity, op5_quality_gam, op6_license_patience, op7_source_mixing, op8_token_counts, op9_ngram_jaccard, op10_byte_bpe)}
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE}
