@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and
 reads again as the next stage's docs.  All but the last return the columns of documents.
 Null texts count as empty in every stage; an empty table passes through as an empty one; extra columns
-are kept; rows that repeat are reduced to one by exact dedup.
+of any name are kept; rows that repeat are reduced to one by exact dedup.  Every stage decides by row, so a row with
+a null doc_id, or one that shares its doc_id with others, stays or goes by its own text.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     names = docs.columns
-    mixed = mixing.mix(docs, mixing.standard_quotas).filter("__copies > 0")
-    return mixed.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*names)
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    mixed = mixing.mix(plain, source=at["source"], key=at["doc_id"], text=at["text"]).filter("copies > 0")
+    return mixed.withColumn("i", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

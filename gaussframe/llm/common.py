@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-#: Rows of a membership filter: 2**17 words of 64 bits, 1 MB of bits, whatever the input's size.
-FILTER_WORDS = 1 << 17
+#: Least and most words of 64 bits of a membership filter: 1 MB to 16 MB of bits.
+FILTER_WORDS, MOST_FILTER_WORDS = 1 << 17, 1 << 21
 
 #: Bytes of text that Arrow hands to a Python worker at once.
 BATCH_BYTES = 2 << 20
@@ -35,7 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors (once per application) and bound the Arrow batches."""
+    """Send this package to the executors (once per application) and bound the session's Arrow batches.
+
+    The bound stays set, as a plan takes it when it runs, after the operator has returned.
+    """
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parents[1]
@@ -57,16 +60,32 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the session names none."""
+    """The cluster's shared folder; a folder of our own only where the session names none and runs on this machine alone."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="gaussframe-")
+        own = tempfile.mkdtemp(prefix="gaussframe-")
+        atexit.register(shutil.rmtree, own, True)
+        _own_dir[app] = "file://" + own
     return _own_dir[app]
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores until they clash with none that is taken (in any case)."""
+    low = {c.lower() for c in taken}
+    out = []
+    for w in wanted:
+        while w.lower() in low:
+            w += "_"
+        low.add(w.lower())
+        out.append(w)
+    return out
+
+
 def tidied(rows: Iterator) -> Iterator:
     """Rows of a worker's task; its freed memory goes back to the system at the end, as workers live on."""
     try:
@@ -99,15 +118,20 @@ def forget(*dfs: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
-def filter_words(keys: DataFrame, *cols: str, words: int = FILTER_WORDS) -> DataFrame:
-    """A lossy set of the given keys as at most ``words`` rows (word, bits).
+def filter_size(keys: int) -> int:
+    """Words of a filter with eight bits or more a key, up to the bound; a fuller filter only lets more others pass."""
+    return min(MOST_FILTER_WORDS, max(FILTER_WORDS, 1 << max(0, keys // 8 - 1).bit_length()))
+
+
+def filter_words(keys: DataFrame, *cols: str, size: int = FILTER_WORDS) -> DataFrame:
+    """A lossy set of the given keys as at most ``size`` rows (word, bits).
 
-    Its size doesn't depend on the number of keys, so it may be broadcast at any scale; with more
-    keys it only lets more others pass.  It never misses a key that is in the set.
+    ``size`` has a bound whatever the number of keys, so the rows may be broadcast at any scale.  It
+    never misses a key that is in the set.
     """
     return (
         keys.select(F.xxhash64(*cols).alias("h"))
-        .selectExpr(f"pmod(shiftrightunsigned(h, 6), {words}) as word", "shiftleft(1L, cast(h & 63 as int)) as bit")
+        .selectExpr(f"pmod(shiftrightunsigned(h, 6), {size}) as word", "shiftleft(1L, cast(h & 63 as int)) as bit")
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
     )
@@ -115,11 +139,11 @@ def filter_words(keys: DataFrame, *cols: str, words: int = FILTER_WORDS) -> Data
 
 def maybe_in(df: DataFrame, words: DataFrame, flag: str, *cols: Column | str, size: int = FILTER_WORDS) -> DataFrame:
     """Add the boolean ``flag``: false means that the key is surely not in the set."""
-    h = F.xxhash64(*cols)
-    w = words.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
+    h, word, bits = free_names([*df.columns, flag], "__h", "__word", "__bits")
+    w = words.select(F.col("word").alias(word), F.col("bits").alias(bits))
     return (
-        df.withColumn("__h", h)
-        .join(F.broadcast(w), F.pmod(F.shiftrightunsigned("__h", 6), F.lit(size)) == F.col("__word"), "left")
-        .withColumn(flag, F.coalesce(F.expr("shiftrightunsigned(__bits, cast(__h & 63 as int)) & 1") == 1, F.lit(False)))
-        .drop("__h", "__word", "__bits")
+        df.withColumn(h, F.xxhash64(*cols))
+        .join(F.broadcast(w), F.pmod(F.shiftrightunsigned(h, 6), F.lit(size)) == F.col(word), "left")
+        .withColumn(flag, F.coalesce(F.expr(f"shiftrightunsigned(`{bits}`, cast(`{h}` & 63 as int)) & 1") == 1, F.lit(False)))
+        .drop(h, word, bits)
     )

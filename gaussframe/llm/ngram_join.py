@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_words, forget, maybe_in, ship, stored, tidied
+from .common import filter_size, filter_words, forget, maybe_in, ship, stored, tidied
 
 #: Counters of the frequency sketch (2**20, 4 MB), whatever the input.
 COUNTER_BITS = 20
@@ -409,8 +409,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     two = fit_sizes(F.col("n0"), F.col("n1"), F.col("room"))
     # a bucket of two rows is decided here, as most that share a token by chance can't link
     several = stored(sigs.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("c"), n0, n1, room).filter((F.col("x") != F.col("y")) & ((F.col("c") > 2) | two)).select(F.col("bucket").alias("s")), "ngram-shared")
-    words = stored(filter_words(several, "s"), "ngram-filter")
-    maybe = maybe_in(sigs, words, "m", "bucket").filter("m").drop("m")
+    size = filter_size(several.count())
+    words = stored(filter_words(several, "s", size=size), "ngram-filter")
+    maybe = maybe_in(sigs, words, "m", "bucket", size=size).filter("m").drop("m")
     members = maybe.join(several, F.col("bucket") == F.col("s"), "left_semi")
     members = stored(members.groupBy("bucket", "id").agg(F.min("n").alias("n"), F.min("at").alias("at")), "ngram-members")
     forget(sigs, several)
@@ -435,9 +436,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """Token sets of these nodes, from their smallest keys' texts; a few more may come, or come twice."""
-        least = ids.join(nodes.select(F.col("d1").alias("d"), "least"), F.col("id") == F.col("d")).select("least")
-        few = stored(filter_words(least, "least"), "ngram-filter")
-        chosen = maybe_in(plain, few, "m", "key").filter("m or key is null").select("text")
+        least = stored(ids.join(nodes.select(F.col("d1").alias("d"), "least"), F.col("id") == F.col("d")).select("least"), "ngram-least")
+        size = filter_size(least.count())
+        few = stored(filter_words(least, "least", size=size), "ngram-filter")
+        forget(least)
+        chosen = maybe_in(plain, few, "m", "key", size=size).filter("m or key is null").select("text")
         return stored(chosen.mapInArrow(lambda it: tidied(_set_pass(it, width, seed)), "id long, tokens array<long>"), "ngram-sets")
 
     sets = sets_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
@@ -488,13 +491,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     Every row is told by a stored id, so rows with a null key and rows that share one are told apart.
     """
     names_ = docs.columns
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "ngram-rows")
-    k = F.col(f"`{key}`")
-    own = F.struct(k.isNull().alias("none"), k.alias("key"), F.col("__row").alias("row"))
-    found = jaccard_components(rows.select(own.alias("own"), F.col(f"`{text}`").alias("text")), "own", "text", width, num, den)
-    gone = stored(found.filter("component_id != own").select(F.col("own.row").alias("__gone")), "ngram-gone")
-    words = stored(filter_words(gone, "__gone"), "ngram-filter")
-    flagged = maybe_in(rows, words, "__m", "__row")
-    sure = flagged.filter("not __m").select(*(F.col(f"`{c}`") for c in names_))
-    rest = flagged.filter("__m").join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*(F.col(f"`{c}`") for c in names_))
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names_)))
+    rows = stored(plain.withColumn("row", F.monotonically_increasing_id()), "ngram-rows")
+    k, t = (F.col(f"c{names_.index(c)}") for c in (key, text))
+    own = F.struct(k.isNull().alias("none"), k.alias("key"), F.col("row"))
+    found = jaccard_components(rows.select(own.alias("own"), t.alias("text")), "own", "text", width, num, den)
+    gone = stored(found.filter("component_id != own").select(F.col("own.row").alias("gone")), "ngram-gone")
+    size = filter_size(gone.count())
+    words = stored(filter_words(gone, "gone", size=size), "ngram-filter")
+    flagged = maybe_in(rows, words, "m", "row", size=size)
+    as_given = [F.col(f"c{i}").alias(c) for i, c in enumerate(names_)]
+    sure = flagged.filter("not m").select(*as_given)
+    rest = flagged.filter("m").join(gone, F.col("row") == F.col("gone"), "left_anti").select(*as_given)
     return sure.unionByName(rest)
