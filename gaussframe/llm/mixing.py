@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,7 +173,7 @@ def route(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequence[float]
     return given
 
 
-_PLAN = "p string, whole int, rest long, source_size long, target double"
+_PLAN = {"p": pa.string(), "whole": pa.int32(), "rest": pa.int64(), "source_size": pa.int64(), "target": pa.float64()}
 
 
 def _passes(words: int, n: int, copies: int) -> tuple[int, int]:
@@ -192,7 +193,9 @@ def _driver_plan(spark, found: list, quotas: Callable[[dict], dict], copies: int
     for r, words in zip(found, given, strict=True):
         first = r.members[0] if r.members else None
         rows.append((r.pattern, *_passes(words, r.n, copies), int(sizes.get(first, 0)), float(targets.get(first, 0.0))))
-    return spark.createDataFrame(rows, _PLAN)
+    # as an Arrow table, which no Python worker has to read
+    columns = list(zip(*rows, strict=True)) or [()] * len(_PLAN)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, _PLAN.values(), strict=True)], names=list(_PLAN)))
 
 
 def _spread_plan(totals: DataFrame, copies: int) -> DataFrame:
