@@ -4,9 +4,14 @@
 simple blocks and block groups with Xiph, EBML or fixed lacing, and cues, into a packet table with
 track, timestamp and byte range.  ``packet_table`` applies the parser to a DataFrame.
 
+Times are milliseconds, from the file's own timestamp scale; packets of a block group are keyframes if
+it refers to no other block.
+
 Defined results: a null or empty text is stored as 64 zero bytes; null media give no packets; bytes
-that aren't Matroska raise ValueError in ``packets`` and give no rows in ``packet_table``; rows that
-repeat give equal values; long texts are stored whole, in as many clusters as they need.
+that aren't Matroska, or are damaged, raise ValueError in ``packets`` and give one row in
+``packet_table``, with an error and no packet; rows that repeat give equal values; long texts are stored
+whole, in as many clusters as they need; an empty table gives an empty one; a key named as a column of
+the packet table raises ValueError.
 """
 
 from __future__ import annotations
@@ -21,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidied
 
 # Fixed values of the format: element ids.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, FLAG_LACING, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C, 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
+# where a cluster of unknown size ends
+TOP = {EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, TAGS, CHAPTERS, ATTACHMENTS}
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
@@ -38,7 +46,7 @@ RATE, PACKET, LACE, CLUSTER_BLOCKS = 8000, 512, 8, 32
 
 class Packet(NamedTuple):
     track: int
-    timestamp: int  # in milliseconds at the usual scale
+    timestamp: int  # in milliseconds
     start: int  # of its bytes in the file
     end: int
     keyframe: bool
@@ -79,7 +87,7 @@ def read_id(data: bytes, at: int) -> tuple[int, int]:
 
 
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(id, start, end) of the elements in a range; a cluster or segment of unknown size ends where its parent or the next of its kind does."""
+    """(id, start, end) of the elements in a range; a segment of unknown size ends with its parent, a cluster of unknown size there or at the next top element."""
     while at < end:
         ident, at = read_id(data, at)
         n, at = read_size(data, at)
@@ -88,7 +96,7 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
                 raise ValueError("only segments and clusters may have an unknown size")
             stop = end
             if ident == CLUSTER:
-                for inner, a, b in elements_until(data, at, end, {CLUSTER, CUES, TRACKS, INFO}):
+                for inner, a, b in elements_until(data, at, end, TOP):
                     stop = b if inner else a
         else:
             stop = at + n
@@ -200,7 +208,7 @@ def packets(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]], dict
     found: list[Packet] = []
     cues: list[tuple[int, int, int]] = []
     tracks: dict[int, dict] = {}
-    n_cluster, seen = 0, False
+    n_cluster, seen, scale = 0, False, 1_000_000
     for ident, a, b in elements(data, 0, len(data)):
         if ident == EBML:
             kind = {i: data[x:y] for i, x, y in elements(data, a, b)}.get(DOC_TYPE, b"")
@@ -211,7 +219,11 @@ def packets(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]], dict
             continue
         if not seen:
             raise ValueError("a segment without its EBML header")
-        for top, x, y in elements(data, a, b):
+        tops = list(elements(data, a, b))
+        for top, x, y in tops:
+            if top == INFO:
+                scale = next((number(data, u, v) for i, u, v in elements(data, x, y) if i == TIMESTAMP_SCALE), 1_000_000)
+        for top, x, y in tops:
             if top == TRACKS:
                 for t, p, q in elements(data, x, y):
                     if t == TRACK_ENTRY:
@@ -231,11 +243,13 @@ def packets(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]], dict
                     if i == TIMESTAMP:
                         stamp = number(data, u, v)
                     elif i == SIMPLE_BLOCK:
-                        found += block(data, u, v, stamp, n_cluster, tracks, simple=True)
+                        found += block(data, u, v, stamp, scale, n_cluster, tracks, None)
                     elif i == BLOCK_GROUP:
-                        for j, s, e in elements(data, u, v):
+                        parts = list(elements(data, u, v))
+                        key = all(j != REFERENCE_BLOCK for j, _, _ in parts)
+                        for j, s, e in parts:
                             if j == BLOCK:
-                                found += block(data, s, e, stamp, n_cluster, tracks, simple=False)
+                                found += block(data, s, e, stamp, scale, n_cluster, tracks, key)
                 n_cluster += 1
             elif top == CUES:
                 for p, u, v in elements(data, x, y):
@@ -247,19 +261,22 @@ def packets(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]], dict
                             when = number(data, s, e)
                         elif i == CUE_TRACK_POSITIONS:
                             got = {j: number(data, k, m) for j, k, m in elements(data, s, e)}
-                            cues.append((when, got.get(CUE_TRACK, 0), a + got.get(CUE_CLUSTER_POSITION, 0)))
+                            cues.append((when * scale // 1_000_000, got.get(CUE_TRACK, 0), a + got.get(CUE_CLUSTER_POSITION, 0)))
     if not seen:
         raise ValueError("not a Matroska file")
     return found, cues, tracks
 
 
-def block(data: bytes, a: int, b: int, stamp: int, cluster: int, tracks: dict[int, dict], simple: bool) -> list[Packet]:
+def block(data: bytes, a: int, b: int, stamp: int, scale: int, cluster: int, tracks: dict[int, dict], key: bool | None) -> list[Packet]:
+    """The packets of a block; ``key`` is None where the block's own flag tells keyframes."""
     track, at = read_size(data, a)
+    if at + 3 > b:
+        raise ValueError("a block is cut off")
     offset = struct.unpack_from(">h", data, at)[0]
     flags = data[at + 2]
     lacing = flags >> 1 & 3
-    step = tracks.get(track, {}).get("default_ns", 0) // 1_000_000
-    return [Packet(track, stamp + offset + i * step, x, y, bool(flags & 0x80) if simple else False, cluster, lacing) for i, (x, y) in enumerate(frames_of(data, at + 3, b, lacing))]
+    step = tracks.get(track, {}).get("default_ns", 0)
+    return [Packet(track, ((stamp + offset) * scale + i * step) // 1_000_000, x, y, bool(flags & 0x80) if key is None else key, cluster, lacing) for i, (x, y) in enumerate(frames_of(data, at + 3, b, lacing))]
 
 
 def pad(data: bytes) -> bytes:
@@ -273,13 +290,15 @@ def read_back(data: bytes) -> bytes:
     return b"".join(data[p.start : p.end] for p in sorted(found, key=lambda p: (p.track, p.timestamp, p.start)))
 
 
-PACKET_SCHEMA = "packet long, track int, timestamp_ms long, byte_start long, byte_end long, keyframe boolean, cluster int, lacing int, at_cue boolean"
+PACKET_SCHEMA = "packet long, track int, timestamp_ms long, byte_start long, byte_end long, keyframe boolean, cluster int, lacing int, at_cue boolean, error string"
 
 
 def packet_table(df: DataFrame, media: str, *keys: str) -> DataFrame:
     """One row a packet: ``keys`` and track, timestamp, byte range, cluster, lacing, and whether a cue names its cluster."""
     ship(df.sparkSession)
-    n = len(keys)
+    n, names = len(keys), [x.split()[0] for x in PACKET_SCHEMA.split(", ")]
+    if set(names) & {k.lower() for k in keys}:
+        raise ValueError("a key is named as a column of the packet table")
 
     def run(batches):
         for b in batches:
@@ -287,19 +306,22 @@ def packet_table(df: DataFrame, media: str, *keys: str) -> DataFrame:
                 data = b.column(n)[i].as_py()
                 if data is None:
                     continue
+                error = None
                 try:
                     found, cues, _ = packets(data)
-                except (ValueError, IndexError, struct.error):
-                    continue
+                except (ValueError, IndexError, struct.error) as e:
+                    found, cues, error = [], [], str(e) or type(e).__name__
                 times = {(t, track) for t, track, _ in cues}
                 firsts = {c: t for t, c in sorted(((p.timestamp, p.cluster) for p in found), reverse=True)}
-                cols = [pa.array(range(len(found)), pa.int64()), *(pa.array([p[k] for p in found], t) for k, t in ((0, pa.int32()), (1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.bool_()), (5, pa.int32()), (6, pa.int32()))), pa.array([(firsts[p.cluster], p.track) in times for p in found], pa.bool_())]
-                own = [pa.array([b.column(k)[i].as_py()] * len(found), b.schema.field(k).type) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([*own, *cols], names=[*b.schema.names[:n], *(x.split()[0] for x in PACKET_SCHEMA.split(", "))])
+                cols = [pa.array(range(len(found)), pa.int64()), *(pa.array([p[k] for p in found], t) for k, t in ((0, pa.int32()), (1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.bool_()), (5, pa.int32()), (6, pa.int32()))), pa.array([(firsts[p.cluster], p.track) in times for p in found], pa.bool_()), pa.nulls(len(found), pa.string())]
+                if error is not None:
+                    cols = [*(pa.nulls(1, c.type) for c in cols[:-1]), pa.array([error])]
+                own = [pa.array([b.column(k)[i].as_py()] * len(cols[0]), b.schema.field(k).type) for k in range(n)]
+                yield pa.RecordBatch.from_arrays([*own, *cols], names=[*b.schema.names[:n], *names])
 
     plain = df.select(*keys, F.col(media).cast("binary").alias("__media"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:n]), PACKET_SCHEMA])
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(lambda it: tidied(run(it)), schema)
 
 
 FEATURES = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
@@ -332,4 +354,4 @@ def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     plain = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     schema = f"__key {plain.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} {kinds[t]}" for n, t in cols)
-    return plain.mapInArrow(run, schema).withColumnRenamed("__key", key)
+    return plain.mapInArrow(lambda it: tidied(run(it)), schema).withColumnRenamed("__key", key)
