@@ -86,16 +86,21 @@ def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def trim() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidied(rows: Iterator) -> Iterator:
     """Rows of a worker's task; its freed memory goes back to the system at the end, as workers live on."""
     try:
         yield from rows
     finally:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        trim()
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, tidied
+from .common import ship, tidied, trim
 
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
 SPAN, DECAY = 6, 0.6
@@ -120,8 +120,8 @@ def kernel_matrix(words: list[str], landmarks: list[str]) -> np.ndarray:
     for of, t, w in _triples(landmarks):
         np.add.at(small, (index[t], of), w)
     out = np.zeros((len(words), len(landmarks)))
-    for a in range(0, len(words), 20_000):
-        part = words[a : a + 20_000]
+    for a in range(0, len(words), 4000):
+        part = words[a : a + 4000]
         for of, t, w in _triples(part):
             hit = index[t]
             own = hit > 0
@@ -209,12 +209,23 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def _landmarks(docs: list[list[str]], y: np.ndarray) -> tuple[list[str], list[str]]:
     """Character runs that set documents of class 1 apart, none near another; and common runs of class 0."""
-    hit: tuple[Counter, Counter] = (Counter(), Counter())
-    for d, k in zip(docs, y, strict=True):
-        hit[int(k)].update({w[a : a + n] for w in d for n in RUNS for a in range(len(w) - n + 1)})
+    hit: tuple[dict, dict] = ({}, {})
+    frequent: list[tuple[int, str]] = []
+    for n in RUNS:  # a length at a time, as most runs occur once
+        ones, zeros = Counter(), Counter()
+        for d, k in zip(docs, y, strict=True):
+            if k:
+                ones.update({w[a : a + n] for w in d for a in range(len(w) - n + 1)})
+        hit[1].update((g, c) for g, c in ones.items() if c > 1)
+        del ones
+        for d, k in zip(docs, y, strict=True):
+            if not k:
+                zeros.update({g for w in d for a in range(len(w) - n + 1) if (g := w[a : a + n]) in hit[1] or n == 5 or g[0] + g[-1] == "^$"})
+        hit[0].update((g, c) for g, c in zeros.items() if g in hit[1])
+        frequent = sorted([*frequent, *((-c, g) for g, c in zeros.items() if n == 5 or g[0] + g[-1] == "^$")])[: OTHER_LANDMARKS * 4]
     n1, n0 = int(y.sum()), int((1 - y).sum())
     # the lower end of the log odds' range: rare runs don't win by chance
-    score = {g: np.log((c + 0.5) / (n1 + 1)) - np.log((hit[0][g] + 0.5) / (n0 + 1)) - 2 * np.sqrt(1 / (c + 0.5) + 1 / (hit[0][g] + 0.5)) for g, c in hit[1].items() if c > 1}
+    score = {g: np.log((c + 0.5) / (n1 + 1)) - np.log((hit[0].get(g, 0) + 0.5) / (n0 + 1)) - 2 * np.sqrt(1 / (c + 0.5) + 1 / (hit[0].get(g, 0) + 0.5)) for g, c in hit[1].items()}
     ranked = sorted((g for g in score if score[g] > 0), key=lambda g: (-score[g] * np.sqrt(hit[1][g]), -len(g), g))[:CANDIDATES]
     chosen: list[str] = []
     near = np.zeros(len(ranked))
@@ -222,7 +233,7 @@ def _landmarks(docs: list[list[str]], y: np.ndarray) -> tuple[list[str], list[st
         chosen.append(ranked[int(np.argmax(near < APART))])
         near = np.maximum(near, kernel_matrix(ranked, chosen[-1:])[:, 0])
         near[ranked.index(chosen[-1])] = 1
-    common = [g for g, _ in sorted(hit[0].items(), key=lambda x: (-x[1], x[0])) if len(g) == 5 or g[0] + g[-1] == "^$"][: OTHER_LANDMARKS * 4 : 4]
+    common = [g for _, g in frequent[::4]]
     return chosen, common
 
 
@@ -231,7 +242,9 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Scor
     y = np.array(labels, float)
     if len(set(labels)) < 2:
         return Scorer(np.zeros(1), 0.0, np.zeros(3), float(labels[0]) if labels else 0.0)
-    docs = [sorted({w for t in set(tokens_of(x)) for w in marked(t)}) for x in texts]
+    shared: dict[str, str] = {}
+    docs = [sorted({shared.setdefault(w, w) for t in set(tokens_of(x)) for w in marked(t)}) for x in texts]
+    del shared
     toxic, common = _landmarks(docs, y)
     landmarks = [*toxic, *common]
     if not toxic:
@@ -242,19 +255,21 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Scor
     values, vectors = np.linalg.eigh(kernel_matrix(landmarks, landmarks) + 1e-3 * np.eye(len(landmarks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     # only words near a toxic landmark are kept, with a share of the others
-    kept, parts = [], []
+    kept, nearest, parts = [], [], []
     r = np.random.default_rng(5)
-    for a in range(0, len(every), 20_000):
-        k = kernel_matrix(every[a : a + 20_000], landmarks)
+    for a in range(0, len(every), 4000):
+        k = kernel_matrix(every[a : a + 4000], landmarks)
         some = (k[:, : len(toxic)].max(axis=1) >= NEAR) | (r.random(len(k)) < max(BACKGROUND_SHARE, BACKGROUND / len(every)))
         kept.append(np.flatnonzero(some) + a)
-        parts.append(k[some].astype(np.float32))
-    k, kept = np.concatenate(parts), np.concatenate(kept)
+        nearest.append(k[some, : len(toxic)].max(axis=1).astype(np.float32))
+        parts.append(k[some].astype(np.float32) @ root.astype(np.float32))
+        del k
+    z, kept = np.concatenate(parts), np.concatenate(kept)
+    del parts
     new = np.full(len(every), -1, np.int64)
     new[kept] = np.arange(len(kept))
     near = [new[o][new[o] >= 0] for o in own]
-    z = k @ root.astype(np.float32)
-    f = k[:, : len(toxic)].max(axis=1)  # to begin with: the nearest landmark
+    f = np.concatenate(nearest)  # to begin with: the nearest landmark
     w = np.zeros(len(landmarks) + 1)
     for _ in range(ROUNDS):
         pos = [int(o[np.argmax(f[o])]) for o, t in zip(near, y, strict=True) if t == 1 and len(o)]
@@ -352,7 +367,12 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key
     """Learn from the labelled rows with ``learn`` (a condition on the key as ``__k``)."""
     chosen, share = sample(docs, labels, label, learn if learn is not None else F.lit(True), key, text)
     rows = chosen.orderBy("__d").collect()
-    return fit([r.t for r in rows], [r.y for r in rows], share)
+    texts, given = [r.t for r in rows], [r.y for r in rows]
+    del rows
+    try:
+        return fit(texts, given, share)
+    finally:
+        trim()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
