@@ -45,7 +45,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     ranks = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    both = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    both = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, round_trip=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -1,25 +1,29 @@
-"""Byte-level BPE: encoding by a global shuffle of distinct words, and decoding by the token-byte table.
+"""Byte-level BPE: encoding by a global shuffle of distinct words, and decoding by a join with the token-byte table.
 
-Encoding has three stages.
-1. Texts are cut into pre-tokens; blocks of texts (``BLOCK_BYTES``) keep their pre-tokens' positions
-   as one sequence of word numbers, and send each distinct word of the block once, packed with the
-   others of its hash partition.
-2. A partition meets all blocks' words of its hashes and encodes each distinct word once.
-3. The ids come back to the block, which replaces word numbers by ids in order of position.
-What moves is a block's distinct words, their ids and the sequence of numbers, all compressed; a
-frequent word moves once a block, never once an occurrence.  Decoding looks ids up in the table of
-token bytes, whose size is the vocabulary's.
+Encoding has three stages; texts are read and cut once.
+1. Texts are cut into pre-tokens.  A block of texts (``BLOCK_BYTES``) keeps the positions of its
+   pre-tokens as one sequence of word numbers, and its distinct words go out packed by word hash.
+2. Words are dealt by hash and met in order of it, so all that name one word meet in one task at one
+   time: each distinct word of the input is encoded once, and what a task remembers is one of
+   ``FINE`` parts of its partition's distinct words.
+3. The ids are joined back to the blocks, which replace word numbers by ids in order of position.
+What moves is a block's distinct words, their ids and twice the sequence of numbers, all compressed; a
+frequent word moves once a block, never once an occurrence.
 
-Blocks are named by a digest of their content, as stages 1 and 3 both read the input; an input that
-isn't the same at each read (no file scan) needs ``stable=False``, which stores it first.
+Decoding joins the table of token bytes, whose size is the vocabulary's, to the ids of a batch by
+address: ids are dense, so the broadcast table is an Arrow array that is taken at the ids.
+
+Blocks are named by a digest of their content.  An input that may come in another order when a lost
+task runs again (no file scan) needs ``stable=False``, which stores it first.
 
 Defined results: null and empty texts have no tokens; null keys stay null; rows that repeat give a
-row each; a text is never split between blocks nor truncated; ids outside the vocabulary raise in
-``decode``.
+row each; an empty table gives an empty result; a text is never split between blocks nor truncated;
+ids outside the vocabulary raise in ``decode``, null ids decode to null; other columns stay.
 """
 
 from __future__ import annotations
 
+import array
 import base64
 import hashlib
 import pickle
@@ -36,9 +40,11 @@ from pyspark.sql import functions as F
 from .common import ship, stored, tidied
 
 #: Bytes of text of a block; a longer text is a block of its own.
-BLOCK_BYTES = 6 << 20
-#: Words that a partition remembers before it starts anew (words met again are then encoded again).
-REMEMBERED = 150_000
+BLOCK_BYTES = 5 << 20
+#: Parts of a partition's words; a task remembers the words of one at a time.
+FINE = 4
+#: Word numbers under this take one byte; others a byte for their size, and their lower bits.
+SHORT = 224
 
 _compiled: dict[str, tuple] = {}
 _encoders: dict[tuple[str, str], object] = {}
@@ -109,16 +115,21 @@ def splitter(pattern: str):
     return lambda text: (ascii_ if text.isascii() else all_)(text)
 
 
+_zstd: list = []
+
+
 def _pack(x) -> bytes:
-    import zstandard
+    if not _zstd:
+        import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, 5))
+        _zstd.extend([zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()])
+    return _zstd[0].compress(pickle.dumps(x, 5))
 
 
 def _unpack(b: bytes):
-    import zstandard
-
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
+    if not _zstd:
+        _pack(None)
+    return pickle.loads(_zstd[1].decompress(b))
 
 
 def _planes(a: np.ndarray) -> tuple[int, list[bytes]]:
@@ -135,11 +146,29 @@ def _whole(x: tuple[int, list[bytes]]) -> np.ndarray:
     return b.reshape(-1).view("<u4")
 
 
-def _block(keys: list, rows: list[np.ndarray], numbers: dict[str, int], parts: int) -> tuple[str, bytes, list[bytes | None]]:
-    """Name, packed documents and packed words by partition.
+def _coded(a: np.ndarray) -> tuple[bytes, tuple]:
+    """Numbers of which small ones are frequent: a byte each, and for those from ``SHORT`` on the bits below their highest."""
+    first = np.minimum(a, 255).astype(np.uint8)
+    long = a >= SHORT
+    rest = a[long] - np.uint32(SHORT - 1)
+    # some at a time, so that no wide copy of all is made
+    bits = np.concatenate([np.frexp(rest[i : i + 65536].astype(np.float64))[1].astype(np.uint8) - np.uint8(1) for i in range(0, len(rest), 65536)] or [np.zeros(0, np.uint8)])
+    first[long] = SHORT + bits
+    return first.tobytes(), _planes(rest - (np.uint32(1) << bits.astype(np.uint32)))
+
+
+def _decoded(x: tuple[bytes, tuple]) -> np.ndarray:
+    out = np.frombuffer(x[0], np.uint8).astype(np.uint32)
+    long = out >= SHORT
+    out[long] = (np.uint32(1) << (out[long] - np.uint32(SHORT))) + _whole(x[1]) + np.uint32(SHORT - 1)
+    return out
+
 
-    Words are numbered anew by frequency; ``order`` tells the number of the words as their
-    partitions list them.
+def _block(keys: list, rows: list[np.ndarray], numbers: dict[str, int], fine: int) -> tuple[str, bytes, list[tuple[int, bytes]]]:
+    """Name, packed documents and packed words by fine part.
+
+    Words are numbered by frequency and listed so in their part, so that ``part`` (of each word by
+    number) tells the number of the words as the parts list them.
     """
     lens = np.array([len(r) for r in rows], np.uint32)
     flat = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
@@ -147,24 +176,32 @@ def _block(keys: list, rows: list[np.ndarray], numbers: dict[str, int], parts: i
     by_freq = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
     new = np.empty(len(words), np.uint32)
     new[by_freq] = np.arange(len(words), dtype=np.uint32)
-    part = np.fromiter((zlib.crc32(w) % parts for w in words), np.uint32, len(words))
+    part = np.fromiter((zlib.crc32(words[i]) % fine for i in by_freq.tolist()), np.uint32, len(words))
     order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(parts + 1))
-    sent: list[bytes | None] = []
-    for p in range(parts):
-        own = order[ends[p] : ends[p + 1]]
-        sent.append(_pack((_planes(np.fromiter((len(words[i]) for i in own), np.uint32, len(own))), b"".join(words[i] for i in own))) if len(own) else None)
-    docs = _pack((keys, _planes(lens), _planes(new[flat]), _planes(new[order])))
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1)).tolist() if len(words) else []
+    sent = []
+    for a, z in zip(cuts, [*cuts[1:], len(words)], strict=True):
+        own = [words[i] for i in by_freq[order[a:z]].tolist()]
+        sent.append((int(part[order[a]]), _pack((_planes(np.fromiter(map(len, own), np.uint32, len(own))), b"".join(own)))))
+    docs = _pack((keys, _planes(lens), _coded(new[flat]), _planes(part)))
     return hashlib.blake2b(docs, digest_size=16).hexdigest(), docs, sent
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, parts: int, want_docs: bool) -> Iterator[pa.RecordBatch]:
+_COLUMNS = ["block", "part", "fine", "payload"]
+
+
+def _rows(block: list[str], part: list[int], fine: list[int], payload: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.string()), pa.array(part, pa.int32()), pa.array(fine, pa.int32()), pa.array(payload, pa.binary())], names=_COLUMNS)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, parts: int) -> Iterator[pa.RecordBatch]:
+    """A row of documents (fine -1) and rows of words of each block."""
     split = splitter(pattern)
 
     def out() -> Iterator[pa.RecordBatch]:
-        name, docs, sent = _block(keys, rows, numbers, parts)
-        got = [(-1, docs)] if want_docs else [(p, s) for p, s in enumerate(sent) if s is not None]
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(got)), pa.array([p for p, _ in got], pa.int32()), pa.array([s for _, s in got], pa.binary())], names=["block", "part", "payload"])
+        name, docs, sent = _block(keys, rows, numbers, parts * FINE)
+        yield _rows([name], [zlib.crc32(name.encode()) % parts], [-1], [docs])
+        yield _rows([name] * len(sent), [f // FINE for f, _ in sent], [f for f, _ in sent], [s for _, s in sent])
 
     def fresh() -> tuple[list, list, dict, int]:
         numbers: defaultdict = defaultdict()
@@ -175,116 +212,182 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, parts: int, want_do
     for b in batches:
         for a in range(0, b.num_rows, 256):
             part = b.slice(a, 256)
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words = split(text) if text else []
-                if size and size + len(text or "") > BLOCK_BYTES:
+            for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                text = text.as_py() or ""
+                if size and size + len(text) > BLOCK_BYTES:
                     yield from out()
                     keys, rows, numbers, size = fresh()
+                words = split(text) if text else []
                 keys.append(key)
                 rows.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-                size += len(text or "")
+                size += len(text)
     if keys:
         yield from out()
 
 
-def _encode_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    enc = encoder(path, pattern)
-    known: dict[bytes, np.ndarray] = {}
-    for b in batches:
-        answers = []
-        for payload in b.column(2):
-            lens, data = _unpack(payload.as_py())
-            lens, at, ids = _whole(lens), 0, []
-            if len(known) > REMEMBERED:
-                known.clear()
-            for n in lens.tolist():
-                w = data[at : at + n]
-                at += n
-                got = known.get(w)
-                if got is None:
-                    got = known[w] = np.array(enc.encode_ordinary(w.decode()), np.uint32)
-                ids.append(got)
-            answers.append(_pack((_planes(np.array([len(x) for x in ids], np.uint32)), _planes(np.concatenate(ids)))))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(answers, pa.binary())], names=["block", "part", "payload"])
-
-
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The indexes of consecutive ranges."""
     ends = np.cumsum(lens)
     return np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _reassemble(table: pa.Table, key_type: pa.DataType) -> pa.Table:
-    rows = sorted(zip(table.column("part").to_pylist(), table.column("payload").to_pylist(), strict=True), key=lambda r: r[0])
-    if rows[0][0] != -1:
-        raise RuntimeError("a block's words came without its documents: the input differs between two reads; use stable=False")
-    # equal blocks have equal words: each part counts once
-    answers = {p: s for p, s in rows if p >= 0}
+class _Words:
+    """The ids of the words met, in one flat array."""
+
+    def __init__(self, enc):
+        self.one = getattr(enc, "_encode_single_piece", None) or (lambda w: enc.encode_ordinary(w.decode()))
+        self.number: dict[bytes, int] = {}
+        self.ids, self.ends = array.array("I"), array.array("q", [0])
+
+    def clear(self) -> None:
+        self.number.clear()
+        del self.ids[:], self.ends[1:]
+
+    def of(self, lens: list[int], data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word, and all ids."""
+        at, found = 0, []
+        for n in lens:
+            w = data[at : at + n]
+            at += n
+            i = self.number.get(w)
+            if i is None:
+                i = self.number[w] = len(self.number)
+                self.ids.extend(self.one(w))
+                self.ends.append(len(self.ids))
+            found.append(i)
+        ends = np.frombuffer(self.ends, np.int64)
+        i = np.array(found, np.int64)
+        starts, n = ends[i], ends[i + 1] - ends[i]
+        return n.astype(np.uint32), np.frombuffer(self.ids, np.uint32)[ragged(starts, n)]
+
+
+def _encode_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str, count) -> Iterator[pa.RecordBatch]:
+    """Words, in order of their fine part, become ids; rows of documents pass."""
+    words, now, done = _Words(encoder(path, pattern)), -1, 0
+    for b in batches:
+        payloads = []
+        for fine, payload in zip(b.column(2).to_pylist(), b.column(3), strict=True):
+            if fine < 0:
+                payloads.append(payload.as_py())
+                continue
+            if fine != now:
+                done += len(words.number)
+                words.clear()
+                now = fine
+            lens, data = _unpack(payload.as_py())
+            n, ids = words.of(_whole(lens).tolist(), data)
+            payloads.append(_pack((_planes(n), _planes(ids))))
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(payloads, pa.binary())], names=_COLUMNS)
+    if count is not None:
+        count.add(done + len(words.number))
+
+
+def _reassemble(table: pa.Table, key_type: pa.DataType, tokens: pa.Array | None = None) -> pa.Table:
+    """The rows of a block; with the token-byte table also what their ids decode to."""
+    # equal blocks come with equal words: each part counts once
+    answers = {f: p for f, p in zip(table.column("fine").to_pylist(), table.column("payload"), strict=True) if f >= 0}
+    docs = [p for f, p in zip(table.column("fine").to_pylist(), table.column("payload"), strict=True) if f < 0]
     lens, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-    for p in sorted(answers):
-        n, ids = _unpack(answers[p])
+    for f in sorted(answers):
+        n, ids = _unpack(answers[f].as_py())
         lens.append(_whole(n).astype(np.int64))
         flat.append(_whole(ids))
     sent_lens, flat = np.concatenate(lens), np.concatenate(flat)
-    sent_starts = np.cumsum(sent_lens) - sent_lens
-    out_keys, out_n, out_ids = [], [], []
-    for p, payload in rows:
-        if p >= 0:
-            break
-        keys, doc_lens, numbers, order = _unpack(payload)
-        doc_lens, numbers, order = _whole(doc_lens).astype(np.int64), _whole(numbers), _whole(order)
-        if len(order) != len(sent_lens):
-            raise RuntimeError("words of a block are missing: the input differs between two reads; use stable=False")
-        word_lens, word_starts = np.empty_like(sent_lens), np.empty_like(sent_starts)
-        word_lens[order], word_starts[order] = sent_lens, sent_starts
-        ends = np.cumsum(doc_lens)
-        for a in range(0, len(keys), 128):
-            z = min(a + 128, len(keys))
-            own = numbers[ends[a] - doc_lens[a] : ends[z - 1]]
-            n = word_lens[own]
-            ids = flat[ragged(word_starts[own], n)].astype("<u4")
-            upto = np.concatenate([[0], np.cumsum(n)])
-            cuts = upto[np.concatenate([[0], ends[a:z] - (ends[a] - doc_lens[a])])]
-            out_keys += keys[a:z]
-            out_n += np.diff(cuts).tolist()
-            out_ids += [ids[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table([pa.array(out_keys, key_type), pa.array(out_n, pa.int64()), pa.array(out_ids, pa.binary())], names=["__key", "n_tokens", "ids"])
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", stable: bool = True) -> DataFrame:
-    """``key``, n_tokens (long) and ids (binary: little-endian unsigned 32-bit integers) of every whole text."""
+    del lens, answers
+    if not docs:
+        raise RuntimeError("a block's words came without its documents: the input differs between two runs of a task; use stable=False")
+    keys, doc_lens, numbers, part = _unpack(docs[0].as_py())
+    doc_lens, numbers, order = _whole(doc_lens).astype(np.int64), _decoded(numbers), np.argsort(_whole(part), kind="stable")
+    if len(order) != len(sent_lens):
+        raise RuntimeError("words of a block are missing: the input differs between two runs of a task; use stable=False")
+    word_lens, word_starts = np.empty_like(sent_lens), np.empty_like(sent_lens)
+    word_lens[order], word_starts[order] = sent_lens, np.cumsum(sent_lens) - sent_lens
+    ends = np.cumsum(doc_lens)
+    out_n, out_ids = [], []
+    for a in range(0, len(keys), 128):
+        z = min(a + 128, len(keys))
+        own = numbers[ends[a] - doc_lens[a] : ends[z - 1]]
+        n = word_lens[own]
+        ids = flat[ragged(word_starts[own], n)].astype("<u4")
+        upto = np.concatenate([[0], np.cumsum(n)])
+        cuts = upto[np.concatenate([[0], ends[a:z] - (ends[a] - doc_lens[a])])]
+        out_n.append(np.diff(cuts))
+        out_ids.append(pa.array([ids[x:y].tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()))
+    one = pa.table([pa.array(keys, key_type), pa.array(np.concatenate(out_n), pa.int64()), pa.chunked_array(out_ids, pa.binary())], names=["__key", "n_tokens", "ids"])
+    if tokens is not None:
+        one = one.append_column("decoded", pa.chunked_array([joined_bytes(x, tokens) for x in out_ids], pa.binary()))
+    # a block that came several times gives its rows as often
+    return pa.concat_tables([one] * len(docs))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", stable: bool = True, count=None, round_trip: bool = False) -> DataFrame:
+    """``key``, n_tokens (long) and ids (binary: little-endian unsigned 32-bit integers) of every whole text.
+
+    ``count``, an accumulator, gets the number of words encoded.  ``round_trip`` adds decoded, what ``decode``
+    makes of the ids, in the task that has them.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
     ship(spark)
-    plain = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+    plain = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
     if not stable:
         plain = stored(plain, "bpe-input")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = plain.schema[0].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     key_type = to_arrow_type(kind)
-    schema = "block string, part int, payload binary"
-    sequences = plain.mapInArrow(lambda it: tidied(_blocks(it, pattern, parts, True)), schema)
-    words = plain.mapInArrow(lambda it: tidied(_blocks(it, pattern, parts, False)), schema)
-    answers = words.repartition(parts, "part").mapInArrow(lambda it: tidied(_encode_words(it, ranks_path, pattern)), schema)
-    whole = sequences.unionByName(answers).groupBy("block").applyInArrow(lambda t: _reassemble(t, key_type), f"__key {kind.simpleString()}, n_tokens long, ids binary")
+    schema = "block string, part int, fine int, payload binary"
+    cut = plain.mapInArrow(lambda it: tidied(_blocks(it, pattern, parts)), schema)
+    dealt = cut.repartitionById(parts, F.col("part")).sortWithinPartitions("fine")
+    answers = dealt.mapInArrow(lambda it: tidied(_encode_words(it, ranks_path, pattern, count)), schema)
+    table = spark.sparkContext.broadcast(token_bytes(ranks_path)) if round_trip else None
+    columns = f"__key {kind.simpleString()}, n_tokens long, ids binary{', decoded binary' * round_trip}"
+    whole = answers.groupBy("block").applyInArrow(lambda t: _reassemble(t, key_type, table.value if table else None), columns)
     return whole.withColumnRenamed("__key", key)
 
 
+def token_bytes(ranks_path: str) -> pa.Array:
+    """The token-byte table: bytes by id; ids that the file lacks are null."""
+    ranks = ranks_of(ranks_path)
+    rows: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for b, i in ranks.items():
+        rows[i] = b
+    return pa.array(rows, pa.binary())
+
+
+def joined_bytes(ids: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The bytes of every id sequence of a batch: one join of all ids with the table."""
+    off = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, "<i4")
+    data = ids.buffers()[2] if len(ids) else None
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    if len(raw) % 4 or ((off - off[0]) % 4).any():
+        raise ValueError("ids are 32-bit integers")
+    found = np.frombuffer(raw.tobytes(), "<u4")
+    if len(found) and int(found.max()) >= len(tokens):
+        raise ValueError(f"{int(found.max())} is no id of this vocabulary")
+    taken = tokens.take(pa.array(found))
+    if taken.null_count:
+        raise ValueError("an id that the vocabulary lacks")
+    ends = np.frombuffer(taken.buffers()[1], "<i4")[taken.offset :] if len(taken) else np.zeros(1, "<i4")
+    cuts = ends[(off - off[0]) // 4].astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(ids), [ids.is_valid().buffers()[1] if ids.null_count else None, pa.py_buffer((cuts - cuts[0]).tobytes()), taken.buffers()[2] if len(taken) else pa.py_buffer(b"")])
+
+
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add the bytes of every id sequence, from the table of token bytes (as many rows as the vocabulary)."""
+    """Add the bytes of every id sequence, by a join with the table of token bytes (as many rows as the vocabulary)."""
     spark = encoded.sparkSession
     ship(spark)
-    table = spark.sparkContext.broadcast({i: b for b, i in ranks_of(ranks_path).items()})
+    table = spark.sparkContext.broadcast(token_bytes(ranks_path))
     names = [c for c in encoded.columns if c != out]
     plain = encoded.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     at = names.index(ids)
 
     def run(batches):
-        get = table.value.__getitem__
+        tokens = table.value
         for b in batches:
-            done = [None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.binary())], names=[*b.schema.names, "__d"])
+            for a in range(0, b.num_rows, 256):
+                part = b.slice(a, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, joined_bytes(part.column(at), tokens)], names=[*b.schema.names, "__d"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", __d binary"
     return plain.mapInArrow(lambda it: tidied(run(it)), schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("__d").alias(out))

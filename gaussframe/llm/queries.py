@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, ngram_join
 from .common import table
 
 
@@ -87,12 +87,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .byte_bpe import decode, encode
+    from .byte_bpe import encode
 
     ranks = tokenizer("byte_bpe_50k.tiktoken")
-    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks)
+    both = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, round_trip=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_pii_boosting, op2_exact_dedup, op3_matroska_packets, op4_toxicity, op5_quality_gam, op6_license_patience, op7_source_mixing, op8_token_counts, op9_ngram_jaccard, op10_byte_bpe)}
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op9_ngram_jaccard": ngram_join.ORACLE}
