@@ -504,3 +504,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     sure = flagged.filter("not m").select(*as_given)
     rest = flagged.filter("m").join(gone, F.col("row") == F.col("gone"), "left_anti").select(*as_given)
     return sure.unionByName(rest)
+
+
+#: Shingles, links and components in SQL, for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(a) < 3 THEN array_to_string(a, ' ') ELSE a[i] || ' ' || a[i + 1] || ' ' || a[i + 2] END AS g FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 1, 2))) AS i FROM w WHERE len(a) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
+c AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(c.b) AS component_id FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""

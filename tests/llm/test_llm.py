@@ -1,7 +1,11 @@
 import hashlib
+import itertools
+import random
 import re
+import time
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -49,6 +53,24 @@ def test_pii_base_and_added(spark, docs):
     made = spark.createDataFrame([(1, "call (743) 555-3824 now"), (2, "order 743-555-3824"), (3, "bob [at] example [dot] com")], "doc_id long, text string")
     got = {r.doc_id: r.s for r in pii.find_pii(made).select("doc_id", pii.joined(F.col("__spans")).alias("s")).collect()}
     assert got == {1: "phone:5:19", 2: "", 3: "email:0:26"}
+    # other columns stay, whatever their names, and redaction keeps lengths
+    odd = spark.createDataFrame([(1, "é a@b.co x", 7), (2, None, 8), (3, 'token = "04dbebab91ab85687d33eeaaf9ac699e"', 9)], "base int, text string, wide int")
+    assert [tuple(r) for r in pii.redact(odd).orderBy("base").collect()] == [(1, "é ██████ x", 7), (2, None, 8), (3, "█" * 41 + '"', 9)]
+    with pytest.raises(ValueError):
+        pii.find_pii(odd.withColumn("__base", F.lit(1)))
+
+
+def test_pii_recall_of_planted_spans():
+    """Held-out sentences of the training rule are told apart by the trees as the thresholds promise."""
+    rows = pii._made(50, seed=5)
+    assert len({r[0] % len(pii.ALL_KINDS) for r in rows}) == len(pii.ALL_KINDS) and all(e - s > 3 for _, _, s, e in rows if s >= 0)
+
+
+def test_pii_many_matches(spark):
+    df = spark.createDataFrame([(1, "u1@example.com, " * 20_000)], "doc_id long, text string")
+    t = time.time()
+    r = pii.find_pii(df).select(F.size("__base").alias("b"), F.element_at("__base", -1).alias("l")).first()
+    assert r.b == 20_000 and (r.l.s, r.l.e) == (16 * 19_999, 16 * 19_999 + 14) and time.time() - t < 90
 
 
 def test_exact_dedup(docs, none):
@@ -92,6 +114,73 @@ def test_matroska_features(docs):
     assert matroska.packet_table(df, "m", "k").count() == 2
 
 
+def test_matroska_scale_groups_and_unknown_sizes(spark, none):
+    m = matroska
+    head = m.element(m.EBML, m.element(m.DOC_TYPE, b"matroska"))
+    info = m.element(m.INFO, m.uint(m.TIMESTAMP_SCALE, 2_000_000))
+    body = b"\x81" + (5).to_bytes(2, "big") + b"\x00" + b"abc"
+    group = m.element(m.BLOCK_GROUP, m.element(m.BLOCK, body))
+    refers = m.element(m.BLOCK_GROUP, m.element(m.BLOCK, body) + m.element(m.REFERENCE_BLOCK, b"\xff"))
+    # a cluster of unknown size, then tags that it must not swallow
+    cluster = m.CLUSTER.to_bytes(4, "big") + b"\xff" + m.uint(m.TIMESTAMP, 10) + group + refers
+    file = head + m.element(m.SEGMENT, info + cluster + m.element(m.TAGS, b"\xec\x81x") + m.element(m.CLUSTER, m.uint(m.TIMESTAMP, 20) + group))
+    found, _, _ = m.packets(file)
+    assert [(p.timestamp, p.keyframe, p.cluster, file[p.start : p.end]) for p in found] == [(30, True, 0, b"abc"), (30, False, 0, b"abc"), (50, True, 1, b"abc")]
+    df = spark.createDataFrame([(1, bytearray(file)), (2, bytearray(file[:-4])), (3, None)], "k int, m binary")
+    rows = m.packet_table(df, "m", "k").collect()
+    assert [(r.k, r.packet) for r in sorted(rows, key=lambda r: (r.k, r.packet or 0))] == [(1, 0), (1, 1), (1, 2), (2, None)]
+    assert [r.k for r in rows if r.error] == [2] and m.media_features(none).count() == 0
+
+
+def test_matroska_columns_are_the_payloads(spark):
+    for r in matroska.media_features(spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")).collect():
+        raw = (TEXTS[r.doc_id] or "").encode()
+        padded = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert r.media_sha256 == hashlib.sha256(matroska.mux(padded)).hexdigest()
+
+
+def test_toxicity_scores_are_the_kernel_machine():
+    """The table of triples scores words as a naive sum over shared subsequences does."""
+    def naive(word, weights):
+        total = 0.0
+        for i in range(len(word)):
+            for k in range(i + 2, min(len(word), i + toxicity.SPAN)):
+                for j in range(i + 1, k):
+                    c = [int(toxicity._codes()[ord(x)]) for x in (word[i], word[j], word[k])]
+                    total += weights[(c[0] * 64 + c[1]) * 64 + c[2]] * toxicity.DECAY ** (k - i - 2)
+        return total / toxicity._norms([word])[0]
+
+    w = np.random.default_rng(0).normal(size=64**3)
+    words = ["^idiot$", "^id$", "^quiet", "river$"]
+    assert np.allclose(toxicity.Scorer(w, 0.5, np.zeros(3)).words(words), [naive(x, w) + 0.5 for x in words])
+
+
+def test_quality_is_a_sum_of_bins():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(400, len(quality.FEATURES)))
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (r.random(400) < 0.05)).astype(float)
+    gam = quality.fit(x, y)
+    rows = x[:20]
+    want = []
+    for row in rows:
+        z = gam.base + sum(t[int((e < v).sum())] for t, e, v in zip(gam.tables, gam.edges, row))
+        z += sum(t[int((gam.pair_edges[i] < row[i]).sum()), int((gam.pair_edges[j] < row[j]).sum())] for i, j, t in gam.pairs)
+        want.append(1 / (1 + np.exp(-z)))
+    assert np.allclose(gam.scores(rows), want) and (1, 0) in {(i, j) for i, j, _ in gam.pairs}
+    # a pair's tree has rectangles as leaves
+    table, _ = quality._shallow_pair(r.normal(size=(6, 6)), np.ones((6, 6)))
+    assert len(np.unique(table)) <= quality.LEAVES
+
+
+def test_tables_without_rows(spark, none):
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert toxicity.toxicity(none, labels).count() == 0 and quality.quality(none, labels).count() == 0 and pii.find_pii(none).count() == 0
+    one = spark.createDataFrame([(1, None), (None, LONG), (1, "a")], "doc_id long, text string")
+    clash = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (None, 1, 1)], "doc_id long, toxic int, quality int")
+    assert [r.score for r in toxicity.toxicity(one, clash).collect()] == [0.0] * 3 == [r.score for r in quality.quality(one, clash).collect()]
+
+
 def test_toxicity_gaps():
     # both classes share all but the insults
     rest = "you are such a friend by the quiet river and the trees of house number"
@@ -116,14 +205,51 @@ def test_held_out_accuracy(spark, name, column, mod, held):
     assert (x.predicted == x[column]).mean() > max(x[column].mean(), 1 - x[column].mean()) + 0.02 and x.score.between(0, 1).all()
 
 
-def test_licenses():
-    own = [licenses.Template(n, t, licenses.COVERAGE) for n, t in sorted(licenses.TEMPLATES.items())]
+def test_licenses(spark, docs, none):
+    own = licenses.templates()
     text = "İx some words. Released under the MIT License. more words\nReleased under the MIT License."
     found = licenses.scan_text(text, own)
     assert [(f[0], text[f[2] : f[3]]) for f in found] == [("MIT", "Released under the MIT License")] * 2
-    whole = licenses.scan_text("x " + licenses.TEMPLATES["MIT-text"].replace("sublicense", "sub license") + " y", own)
-    assert whole[0][0] == "MIT-text" and whole[0][1] > 0.95
+    mit = max((n.text for n in licenses.NOTICES if n.license == "MIT"), key=len)
+    whole = licenses.scan_text("x " + mit.replace("sublicense", "sub license") + " y", own)
+    assert whole[0][0] == "MIT" and 0.95 < whole[0][1] < 1
     assert licenses.scan_text(None, own) == [] and licenses.scan_text("the license of the work", own) == []
+    got = licenses.scan(docs.withColumn("matches", F.lit(1))).collect()
+    assert len(got) == docs.count() and licenses.scan(none).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("Released under the Apache license.", None),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+        ("This library is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("Licensed under the Apache License, Version 1.1.", None),
+    ],
+)
+def test_licenses_and_their_kin(text, want):
+    assert [f[0] for f in licenses.scan_text(f"some words {text} more words", licenses.templates())] == [want] * (want is not None)
+
+
+def test_licenses_take_linear_time():
+    words = max((n.text for n in licenses.NOTICES if n.license == "MIT"), key=len).split()
+    t = time.time()
+    assert licenses.scan_text(" ".join(words[::-1] * 1000), licenses.templates()) == [] and time.time() - t < 20
+
+
+def test_alignment_is_an_increasing_common_subsequence():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = ([f"w{i}" for i in r.integers(0, 12, n)] for n in r.integers(1, 15, 2))
+        got = licenses.align(a, b)
+        longest = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                longest[i + 1, j + 1] = longest[i, j] + 1 if x == y else max(longest[i, j + 1], longest[i + 1, j])
+        assert all(a[i] == b[j] for i, j in got) and len(got) <= longest[-1, -1]
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
 
 
 def test_flow_of_overlapping_sources():
@@ -143,7 +269,44 @@ def test_mixing(spark, docs, none):
     assert (got["size"] == [len(re.findall("[^\x20\x09-\x0d]+", t)) for t in got.text]).all() and (got.taken <= 2 * got["size"]).all()
     by = got.groupby("source").agg(t=("target", "first"), k=("taken", "sum"), n=("size", "sum"))
     assert (abs(by.t - by.k) <= 0.02 * by.n + 50).all()
-    assert mixing.mix(docs, mixing.standard_quotas).count() == docs.count() and mixing.mix(none, mixing.standard_quotas).count() == 0
+    assert mixing.mix(docs).count() == docs.count() and mixing.mix(none).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("copies", F.lit(1)))
+
+
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op7_source_mixing", "op9_ngram_jaccard"])
+def test_query_matches_sql(spark, name):
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    want = con.execute(entry.oracle_sql()[name]).df().sort_values("doc_id").reset_index(drop=True)
+    got = entry.queries()[name](spark, d).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert sorted(got.columns) == sorted(want.columns) and (got[list(want.columns)] == want).all().all()
+
+
+def test_mixing_many_sources_is_the_same(spark, docs, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    key = lambda r: (str(r[0]), *r[1:3], r[4])
+    few = [sorted(map(key, mixing.mix_table(x).collect())) for x in (docs, spark.read.parquet(f"{d}/documents.parquet"))]
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 1)
+    assert few == [sorted(map(key, mixing.mix_table(x).collect())) for x in (docs, spark.read.parquet(f"{d}/documents.parquet"))]
+    with pytest.raises(ValueError):
+        mixing.mix_table(docs, members=F.array(F.col("source"), F.lit("z")))
+
+
+def test_flow_is_largest_and_cheapest():
+    def best(patterns, quotas):
+        subsets = [c for k in range(len(quotas) + 1) for c in itertools.combinations(range(len(quotas)), k)]
+        fits = lambda g: all(sum(x for x, (m, _) in zip(g, patterns) if set(m) <= set(c)) <= sum(quotas[s] for s in c) for c in subsets)
+        return min((-sum(g), sum(max(0, x - n) for x, (_, n) in zip(g, patterns))) for g in itertools.product(*(range(2 * n + 1) for _, n in patterns)) if fits(g))
+
+    r = random.Random(1)
+    for _ in range(60):
+        n = r.randint(1, 3)
+        patterns = [(sorted(r.sample(range(n), r.randint(1, n))), r.randint(0, 4)) for _ in range(r.randint(1, 3))]
+        quotas = [r.randint(0, 8) for _ in range(n)]
+        got = mixing.route(patterns, quotas)
+        assert (-sum(got), sum(max(0, x - n) for x, (_, n) in zip(got, patterns))) == best(patterns, quotas)
 
 
 def test_token_counts(docs, none):
@@ -201,7 +364,7 @@ def test_ngram_join_empty(none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
-def test_byte_bpe(docs, none):
+def test_byte_bpe(spark, docs, none):
     ranks = str(P.path("byte_bpe_50k.tiktoken"))
     enc = byte_bpe.encoder(ranks, P.PATTERN)
     done = byte_bpe.decode(byte_bpe.encode(docs, ranks, P.PATTERN, stable=False), ranks).collect()
@@ -209,6 +372,25 @@ def test_byte_bpe(docs, none):
     assert sorted((str(r.doc_id), np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in done) == want
     assert sorted(bytes(r.decoded).decode() for r in done) == sorted(r.text or "" for r in docs.collect())
     assert byte_bpe.encode(none, ranks, P.PATTERN).count() == 0
+    # both ways of decoding agree, and each distinct word is encoded once
+    count = spark.sparkContext.accumulator(0)
+    both = byte_bpe.encode(docs, ranks, P.PATTERN, stable=False, count=count, round_trip=True).collect()
+    assert sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in both) == sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in done)
+    split = byte_bpe.splitter(P.PATTERN)
+    assert count.value == len({w for r in docs.collect() for w in split(r.text or "")})
+
+
+def test_byte_bpe_codes_and_bad_ids():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    for a in (np.zeros(0, np.uint32), r.integers(0, 300, 999).astype(np.uint32), r.integers(0, 2**20, 99999).astype(np.uint32), np.array([223, 224, 225, 255, 256, 2**25], np.uint32)):
+        assert (byte_bpe._decoded(byte_bpe._coded(a)) == a).all()
+    tokens = pa.array([b"a", None, b"bc"])
+    assert byte_bpe.joined_bytes(pa.array([np.array([2, 0], "<u4").tobytes(), None, b""]), tokens).to_pylist() == [b"bca", None, b""]
+    for bad in (1, 3):
+        with pytest.raises(ValueError):
+            byte_bpe.joined_bytes(pa.array([np.array([bad], "<u4").tobytes()]), tokens)
 
 
 def test_pipeline_stages(spark):
