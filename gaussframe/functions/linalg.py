@@ -103,8 +103,42 @@ def normal_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 
 
+def diagonal(v: Column) -> Column:
+    """The matrix with ``v`` on its diagonal."""
+    return F.transform(v, lambda x, i: F.transform(v, lambda _, j: F.when(i == j, x).otherwise(0.0)))
+
+
+def diagonal_of(a: Column) -> Column:
+    return F.transform(a, lambda r, i: F.get(r, i))
+
+
+def cholesky(a: Column) -> Column:
+    """The lower factor of a positive definite matrix, a row after the other; row i has i + 1 entries."""
+
+    def row(rows: Column, i: Column) -> Column:
+        def entry(r: Column, j: Column) -> Column:
+            left = F.get(F.get(a, i), j)
+            own = left - total(F.zip_with(r, F.slice(F.get(rows, j), F.lit(1), j), lambda x, y: x * y))
+            return F.concat(r, F.array(F.when(j < i, own / F.get(F.get(rows, j), j)).otherwise(F.sqrt(left - total(F.transform(r, lambda x: x * x))))))
+
+        return F.aggregate(F.sequence(F.lit(0), i), F.expr("cast(array() as array<double>)"), entry)
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), F.expr("cast(array() as array<array<double>>)"), lambda rows, i: F.concat(rows, F.array(row(rows, i))))
+
+
+def normal_tail(x: Column) -> Column:
+    """The mass beyond x of 2.5 or more, by a continued fraction, with full relative precision."""
+    c = F.greatest(x, F.lit(2.5))
+    return normal_pdf(c) / F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), c, lambda acc, k: c + k / acc)
+
+
 def normal_cdf(x: Column) -> Column:
-    """Series of 120 terms between -8 and 8, clamped beyond; infinite limits included."""
-    c = F.least(F.greatest(x, F.lit(-8.0)), F.lit(8.0))
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(120)), F.struct(c.alias("t"), c.alias("s")), lambda acc, n: F.struct((acc["t"] * c * c / (2 * n + 1)).alias("t"), (acc["s"] + acc["t"] * c * c / (2 * n + 1)).alias("s")), lambda acc: acc["s"])
-    return F.when(x <= -8, 0.0).when(x >= 8, 1.0).otherwise(0.5 + normal_pdf(c) * series)
+    """A series between -2.5 and 2.5, the tails beyond; infinite limits included."""
+    c = F.least(F.greatest(x, F.lit(-2.5)), F.lit(2.5))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(c.alias("t"), c.alias("s")), lambda acc, n: F.struct((acc["t"] * c * c / (2 * n + 1)).alias("t"), (acc["s"] + acc["t"] * c * c / (2 * n + 1)).alias("s")), lambda acc: acc["s"])
+    return F.when(x < -2.5, normal_tail(-x)).when(x > 2.5, 1 - normal_tail(x)).otherwise(0.5 + normal_pdf(c) * series)
+
+
+def normal_mass(a: Column, b: Column) -> Column:
+    """The mass between a and b; on the right of 0 from the mirrored tails, so that nothing cancels."""
+    return F.when(a > 0, normal_cdf(-a) - normal_cdf(-b)).otherwise(normal_cdf(b) - normal_cdf(a))

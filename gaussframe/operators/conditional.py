@@ -78,10 +78,56 @@ def log_conditional_y(cond: DataFrame, p: DataFrame, y: Column) -> DataFrame:
     return j.select("r", "x_r", (-(L.quad(F.col("Lambda"), F.col("__d")) + spread + F.size("b") * L.LN2PI + F.col("ln_det_Sigma")) / 2).alias("value"))
 
 
+def log_conditional(cond: DataFrame, joint: DataFrame) -> DataFrame:
+    """The expectation of ln p(y|x) over joint densities (r, mu, Sigma) of (y, x), in this order."""
+    x = joint.select(F.col("r").alias("x_r"), F.col("mu").alias("x_mu"), F.col("Sigma").alias("x_S"))
+    n = F.size("b")
+    own = cond.crossJoin(x).withColumn("__a", F.transform("M", lambda row, i: F.concat(F.transform("b", lambda _, j: F.when(i == j, 1.0).otherwise(0.0)), L.scale(row, -1.0))))
+    own = own.withColumn("__d", L.add(L.matvec(F.col("__a"), F.col("x_mu")), L.scale(F.col("b"), -1.0)))
+    spread = L.trace(L.matmul(F.col("Lambda"), L.matmul(L.matmul(F.col("__a"), F.col("x_S")), L.transpose(F.col("__a")))))
+    return own.select("r", "x_r", (-(spread + L.quad(F.col("Lambda"), F.col("__d")) + n * L.LN2PI + F.col("ln_det_Sigma")) / 2).alias("value"))
+
+
+def update_sigma(cond: DataFrame, new: DataFrame) -> DataFrame:
+    """Conditionals with the Sigma that ``new`` (r, Sigma) has for them, others as they are."""
+    n = new.select("r", F.col("Sigma").alias("__s"))
+    return conditional(cond.select("r", "M", "b", "Sigma").join(n, "r", "left").select("r", "M", "b", F.coalesce("__s", "Sigma").alias("Sigma")))
+
+
+def diagonal_conditional(df: DataFrame) -> DataFrame:
+    """Lambda and ln_det_Sigma for M, b and variances ``var``, by reciprocals instead of an inverse."""
+    out = df.withColumn("Sigma", L.diagonal(F.col("var"))).withColumn("Lambda", L.diagonal(F.transform("var", lambda x: 1 / x)))
+    return out.withColumn("ln_det_Sigma", L.total(F.transform("var", lambda x: F.ln(x)))).drop("var")
+
+
+def identity_diagonal(df: DataFrame) -> DataFrame:
+    """The conditional of variances ``var`` with M = I and b = 0."""
+    return diagonal_conditional(df.withColumn("M", L.identity(F.size("var"))).withColumn("b", F.transform("var", lambda _: F.lit(0.0))))
+
+
+def truncated_density(x: Column, mu: Column, sigma: Column, lower: Column, upper: Column) -> Column:
+    """The truncated density at x: 0 outside its limits."""
+    a, b = F.coalesce((lower - mu) / sigma, F.lit(float("-inf"))), F.coalesce((upper - mu) / sigma, F.lit(float("inf")))
+    u = (x - mu) / sigma
+    return F.when((u >= a) & (u <= b), L.normal_pdf(u) / sigma / L.normal_mass(a, b)).otherwise(0.0)
+
+
+#: Integrals over a measure of one dimension between two limits, from mass, mean and variance of the truncated density.
+TRUNCATED = {"1": lambda t: F.lit(1.0), "x": lambda t: t["mean"], "x**2": lambda t: t["variance"] + t["mean"] * t["mean"]}
+
+
+def integrate_truncated(expr: str, z: Column, mu: Column, sigma: Column, lower: Column, upper: Column) -> Column:
+    """The integral of an expression over a measure with integral ``z``; unknown expressions raise KeyError, limits that aren't in order raise."""
+    of = TRUNCATED[expr]
+    t = truncated(mu, sigma, lower, upper)
+    value = F.when(t["mass"] <= 0, 0.0).otherwise(z * t["mass"] * of(t))
+    return F.when(lower.isNull() & upper.isNull(), F.raise_error(F.lit("a truncated measure needs a limit")).cast("double")).when(lower >= upper, F.raise_error(F.lit("the lower limit isn't under the upper one")).cast("double")).otherwise(value)
+
+
 def truncated(mu: Column, sigma: Column, lower: Column, upper: Column) -> dict[str, Column]:
     """Mass, mean and variance of N(mu, sigma^2) on [lower, upper]; a null limit is infinite; no mass gives 0."""
     a, b = F.coalesce((lower - mu) / sigma, F.lit(float("-inf"))), F.coalesce((upper - mu) / sigma, F.lit(float("inf")))
-    mass = L.normal_cdf(b) - L.normal_cdf(a)
+    mass = L.normal_mass(a, b)
     fa, fb = F.when(F.abs(a) > 38, 0.0).otherwise(L.normal_pdf(a)), F.when(F.abs(b) > 38, 0.0).otherwise(L.normal_pdf(b))
     afa, bfb = F.when(F.abs(a) > 38, 0.0).otherwise(a * fa), F.when(F.abs(b) > 38, 0.0).otherwise(b * fb)
     d = (fa - fb) / mass
@@ -91,7 +137,7 @@ def truncated(mu: Column, sigma: Column, lower: Column, upper: Column) -> dict[s
 def truncated_moment(mu: Column, sigma: Column, lower: Column, upper: Column, k: int) -> Column:
     """The k-th moment of the truncated density, by recursion over standardised moments."""
     a, b = F.coalesce((lower - mu) / sigma, F.lit(float("-inf"))), F.coalesce((upper - mu) / sigma, F.lit(float("inf")))
-    mass = L.normal_cdf(b) - L.normal_cdf(a)
+    mass = L.normal_mass(a, b)
 
     def edge(x: Column, n: int) -> Column:
         return F.when(F.abs(x) > 38, 0.0).otherwise(F.pow(x, F.lit(float(n))) * L.normal_pdf(x))

@@ -98,9 +98,12 @@ def entropy() -> Column:
 def kl_divergence(p: DataFrame, q: DataFrame) -> DataFrame:
     """r, q_r and KL(p || q) of all pairs."""
     o = q.select(F.col("r").alias("q_r"), F.col("mu").alias("q_mu"), F.col("Lambda").alias("q_L"), F.col("ln_det_Sigma").alias("q_ld"))
+    return p.crossJoin(o).select("r", "q_r", _kl().alias("kl"))
+
+
+def _kl() -> Column:
     d = L.add(F.col("q_mu"), L.scale(F.col("mu"), -1.0))
-    kl = (L.trace(L.matmul(F.col("q_L"), F.col("Sigma"))) + L.quad(F.col("q_L"), d) - F.size("mu") + F.col("q_ld") - F.col("ln_det_Sigma")) / 2
-    return p.crossJoin(o).select("r", "q_r", kl.alias("kl"))
+    return (L.trace(L.matmul(F.col("q_L"), F.col("Sigma"))) + L.quad(F.col("q_L"), d) - F.size("mu") + F.col("q_ld") - F.col("ln_det_Sigma")) / 2
 
 
 def condition_on(df: DataFrame, dim_y: list[int], dims: int) -> DataFrame:
@@ -117,14 +120,78 @@ def linear_sum(df: DataFrame, w: Column, b: Column) -> DataFrame:
     return df.select("r", L.add(L.matvec(w, F.col("mu")), b).alias("mu"), L.matmul(L.matmul(w, F.col("Sigma")), L.transpose(w)).alias("Sigma"))
 
 
-def sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n draws of each density with two dimensions or one, by its Cholesky factor."""
-    s = lambda i, j: F.get(F.get("Sigma", F.lit(i)), F.lit(j))
-    l11 = F.sqrt(s(0, 0))
-    l21 = s(1, 0) / l11
-    drawn = df.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("z0", F.randn(seed)).withColumn("z1", F.randn(seed + 1))
-    x = F.array(F.get("mu", F.lit(0)) + l11 * F.col("z0"), F.get("mu", F.lit(1)) + l21 * F.col("z0") + F.sqrt(s(1, 1) - l21 * l21) * F.col("z1"))
-    return drawn.select("r", "sample_id", x.alias("x"))
+def sample(df: DataFrame, n: int, dims: int, seed: int = 0) -> DataFrame:
+    """n seeded draws (r, sample_id, x) of each density of ``dims`` dimensions, by its Cholesky factor."""
+    own = df.select("r", "mu", L.cholesky(F.col("Sigma")).alias("__c"))
+    drawn = own.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("__z", F.array(*(F.randn(seed + i) for i in range(dims))))
+    # a row of the factor ends at the diagonal
+    moved = F.transform("__c", lambda row: L.total(F.zip_with(row, F.slice("__z", F.lit(1), F.size(row)), lambda x, y: x * y)))
+    return drawn.select("r", "sample_id", L.add(F.col("mu"), moved).alias("x"))
+
+
+def evaluate(x: Column) -> Column:
+    return F.exp(evaluate_ln(x))
+
+
+def with_defaults(df: DataFrame) -> DataFrame:
+    """A factor of Lambda alone: nu and ln_beta are 0 where they lack."""
+    out = df if "nu" in df.columns else df.withColumn("nu", F.transform("Lambda", lambda _: F.lit(0.0)))
+    return out if "ln_beta" in out.columns else out.withColumn("ln_beta", F.lit(0.0))
+
+
+def one_rank_factor(v: Column, g: Column, nu: Column, ln_beta: Column) -> list[Column]:
+    """Lambda, nu and ln_beta of exp(-g (v'x)^2 / 2 + nu'x + ln_beta), as rows for ``multiply`` and ``hadamard``."""
+    return [L.mscale(L.outer(v, v), g).alias("Lambda"), nu.alias("nu"), ln_beta.alias("ln_beta")]
+
+
+def linear_factor(nu: Column, ln_beta: Column) -> list[Column]:
+    """Lambda, nu and ln_beta of exp(nu'x + ln_beta)."""
+    return [F.transform(nu, lambda _: F.transform(nu, lambda _: F.lit(0.0))).alias("Lambda"), nu.alias("nu"), ln_beta.alias("ln_beta")]
+
+
+def constant_factor(ln_beta: Column, dims: int) -> list[Column]:
+    return linear_factor(F.array(*(F.lit(0.0) for _ in range(dims))), ln_beta)
+
+
+def normalize(df: DataFrame) -> DataFrame:
+    """Measures with ``moments``, scaled to integrate to 1."""
+    return completed(df.withColumn("ln_beta", -F.col("lnZ")))
+
+
+def is_normalized(tolerance: float = 1e-9) -> Column:
+    return F.abs(F.col("lnZ") + F.col("ln_beta")) <= tolerance
+
+
+def get_density(df: DataFrame) -> DataFrame:
+    """The densities that measures (Lambda, nu, ln_beta) are multiples of."""
+    return density(moments(df).select("r", "mu", "Sigma"))
+
+
+def diagonal_density(df: DataFrame) -> DataFrame:
+    """From mu and the variances ``var``: densities, by reciprocals instead of an inverse."""
+    out = df.withColumn("Sigma", L.diagonal(F.col("var"))).withColumn("Lambda", L.diagonal(F.transform("var", lambda x: 1 / x)))
+    out = out.withColumn("ln_det_Sigma", L.total(F.transform("var", lambda x: F.ln(x)))).withColumn("nu", F.zip_with("mu", "var", lambda m, v: m / v))
+    return completed(out.withColumn("ln_beta", F.lit(0.0))).withColumn("ln_beta", -F.col("lnZ")).withColumn("log_integral", F.lit(0.0))
+
+
+def diagonal_moments(df: DataFrame) -> DataFrame:
+    """``moments`` of measures whose Lambda is diagonal."""
+    out = df.withColumn("__l", L.diagonal_of(F.col("Lambda"))).withColumn("Sigma", L.diagonal(F.transform("__l", lambda x: 1 / x)))
+    return completed(out.withColumn("ln_det_Sigma", -L.total(F.transform("__l", lambda x: F.ln(x)))).drop("__l"))
+
+
+def kl_aligned(p: DataFrame, q: DataFrame) -> DataFrame:
+    """r and KL(p || q) of the rows of equal r."""
+    o = q.select(F.col("r").alias("q_r"), F.col("mu").alias("q_mu"), F.col("Lambda").alias("q_L"), F.col("ln_det_Sigma").alias("q_ld"))
+    return p.join(o, F.col("r") == F.col("q_r")).select("r", _kl().alias("kl"))
+
+
+def condition_on_explicit(df: DataFrame, dim_y: list[int], dim_x: list[int]) -> DataFrame:
+    """p(x|y) for these dimensions in this order; those in neither are integrated out."""
+    out = df.withColumn("__i", L.inverse(L.block(F.col("Sigma"), dim_y, dim_y))["inv"]).withColumn("M", L.matmul(L.block(F.col("Sigma"), dim_x, dim_y), F.col("__i")))
+    b = L.add(L.pick(F.col("mu"), dim_x), L.scale(L.matvec(F.col("M"), L.pick(F.col("mu"), dim_y)), -1.0))
+    s = L.madd(L.block(F.col("Sigma"), dim_x, dim_x), L.mscale(L.matmul(F.col("M"), L.block(F.col("Sigma"), dim_y, dim_x)), -1.0))
+    return out.select("r", "M", b.alias("b"), s.alias("Sigma"))
 
 
 class Affine:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
+from .kernels import matched_conditional, matched_joint
 
 
 def expected_link(link: str, m: Column, v: Column) -> Column:
@@ -32,4 +33,35 @@ def marginal(p: DataFrame, link: str, m: list[list[float]], b: list[float], s: l
         noise = L.madd(noise, F.array(*(F.array(*(F.lit(x * y) * F.col(f"e{k}") for y in ak)) for x in ak)))
     mm = L.mat(m)
     own = own.withColumn("noise", noise).withColumn("MS", L.matmul(mm, F.col("Sigma")))
-    return own.select("r", L.add(L.matvec(mm, F.col("mu")), L.vec(*b)).alias("mu"), L.madd(L.matmul(F.col("MS"), L.transpose(mm)), F.col("noise")).alias("Sigma"), "noise")
+    return own.select("r", L.add(L.matvec(mm, F.col("mu")), L.vec(*b)).alias("mu"), L.madd(L.matmul(F.col("MS"), L.transpose(mm)), F.col("noise")).alias("Sigma"), "noise", F.col("MS").alias("cross"))
+
+
+def link_at(link: str, h: Column) -> Column:
+    if link == "exp":
+        return F.exp(h)
+    if link == "cosh_minus_one":
+        return F.cosh(h) - 1
+    if link == "heaviside":
+        return F.when(h >= 0, 1.0).otherwise(0.0)
+    if link == "relu":
+        return F.greatest(h, F.lit(0.0))
+    raise KeyError(link)
+
+
+def condition_on_x(points: DataFrame, link: str, m: list[list[float]], b: list[float], s: list[list[float]], a: list[list[float]], w: list[list[float]], c: list[float]) -> DataFrame:
+    """A density in y for each point (n, x), with the covariance at x."""
+    own, noise = points, L.mat(s)
+    for k, (ak, wk, ck) in enumerate(zip(a, w, c, strict=True)):
+        own = own.withColumn(f"f{k}", link_at(link, L.dot(L.vec(*wk), F.col("x")) + ck))
+        noise = L.madd(noise, F.array(*(F.array(*(F.lit(x * y) * F.col(f"f{k}") for y in ak)) for x in ak)))
+    return own.select("n", L.add(L.matvec(L.mat(m), F.col("x")), L.vec(*b)).alias("mu"), noise.alias("Sigma"))
+
+
+def joint(p: DataFrame, *model) -> DataFrame:
+    """p(x, y) by moment matching; ``model`` as in ``marginal``."""
+    return matched_joint(p, marginal(p, *model))
+
+
+def conditional(p: DataFrame, *model) -> DataFrame:
+    """p(x|y) by moment matching; ``model`` as in ``marginal``."""
+    return matched_conditional(p, marginal(p, *model))

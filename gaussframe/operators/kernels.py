@@ -68,3 +68,42 @@ def marginal(p: DataFrame, kernels: list[Kernel], m: list[list[float]], b: list[
         L.madd(L.matmul(F.col("MC"), L.transpose(L.mat(m))), L.mat(s)).alias("Sigma"),
         F.transform("MC", lambda row: F.slice(row, 1, d)).alias("cross"),
     )
+
+
+def features(x: Column, kernels: list[Kernel]) -> Column:
+    """phi(x): x and the kernels at x."""
+    at = [F.exp(-L.total(F.zip_with(F.zip_with(x, L.vec(*c), lambda u, v: u - v), L.vec(*w), lambda d, l: d * d / (l * l))) / 2) for c, w in kernels]
+    return F.concat(x, F.array(*at))
+
+
+def condition_on_x(points: DataFrame, kernels: list[Kernel], m: list[list[float]], b: list[float], s: list[list[float]]) -> DataFrame:
+    """A density in y for each point (n, x)."""
+    return points.withColumn("phi", features(F.col("x"), kernels)).select("n", L.add(L.matvec(L.mat(m), F.col("phi")), L.vec(*b)).alias("mu"), L.mat(s).alias("Sigma"))
+
+
+def joint(p: DataFrame, kernels: list[Kernel], m: list[list[float]], b: list[float], s: list[list[float]]) -> DataFrame:
+    """p(x, y) by moment matching, in this order."""
+    return matched_joint(p, marginal(p, kernels, m, b, s))
+
+
+def conditional(p: DataFrame, kernels: list[Kernel], m: list[list[float]], b: list[float], s: list[list[float]]) -> DataFrame:
+    """p(x|y) by moment matching."""
+    return matched_conditional(p, marginal(p, kernels, m, b, s))
+
+
+def _both(p: DataFrame, y: DataFrame) -> DataFrame:
+    """Densities of x and the moments (mu, Sigma, cross) of y, by r."""
+    own = y.select("r", F.col("mu").alias("y_mu"), F.col("Sigma").alias("y_S"), "cross")
+    return p.select("r", F.col("mu").alias("x_mu"), F.col("Sigma").alias("x_S")).join(own, "r")
+
+
+def matched_joint(p: DataFrame, y: DataFrame) -> DataFrame:
+    top = F.zip_with("x_S", L.transpose(F.col("cross")), lambda a, c: F.concat(a, c))
+    low = F.zip_with("cross", "y_S", lambda a, c: F.concat(a, c))
+    return _both(p, y).select("r", F.concat("x_mu", "y_mu").alias("mu"), F.concat(top, low).alias("Sigma"))
+
+
+def matched_conditional(p: DataFrame, y: DataFrame) -> DataFrame:
+    own = _both(p, y).withColumn("__i", L.inverse(F.col("y_S"))["inv"]).withColumn("M", L.matmul(L.transpose(F.col("cross")), F.col("__i")))
+    s = L.madd(F.col("x_S"), L.mscale(L.matmul(F.col("M"), F.col("cross")), -1.0))
+    return own.select("r", "M", L.add(F.col("x_mu"), L.scale(L.matvec(F.col("M"), F.col("y_mu")), -1.0)).alias("b"), s.alias("Sigma"))

@@ -206,3 +206,80 @@ _HM, _HV = "(0.3 * m1 - 0.2 * m2 + 0.1)", "(0.09 * s11 - 0.12 * s12 + 0.04 * s22
 _HB = "0.3 + 0.25 * s11 - 0.25 * s12 + 0.0625 * s22 + 0.64 * "
 for _link, _e in (("exp", f"exp({_HM} + {_HV} / 2)"), ("cosh_minus_one", f"((exp({_HM} + {_HV} / 2) + exp({_HV} / 2 - {_HM})) / 2 - 1)")):
     register(f"hetero_{_link}_marginal", lambda s, d, k=_link: (H.marginal(groups(s, d), k, [[0.5, -0.25]], [0.1], [[0.3]], [[0.8]], [[0.3, -0.2]], [0.1]), [col("mu", 0), col("Sigma", 0, 0)]), ["mu", "S"], ["0.5 * m1 - 0.25 * m2 + 0.1", _HB + _e])
+
+# conditionals at points, entropies, expectations over joints
+register("condition_on_x", lambda s, d: (C.condition_on_x(_cond(s), _all_points(s, d).select(F.col("p_partkey").alias("n"), "x")), [col("mu", 0), col("Sigma", 0, 0)]), ["mu", "S"], [f"{_M[0]} * x1 + {_M[1]} * x2 + {_B}", f"{_S}"], "(SELECT p_partkey AS n, p_size / 10.0::DOUBLE AS x1, CAST(p_retailprice AS DOUBLE) / 1000 AS x2 FROM part)", "", ("n",))
+register("conditional_entropy", lambda s, d: (_cond(s), [C.conditional_entropy()]), ["entropy"], [f"(1 + {LP} + ln({_S})) / 2"], "(SELECT '0' AS r)", "", ("r",))
+_one = lambda s: C.conditional(s.sql(f"SELECT '0' AS r, array(array({_M[0]}D)) AS M, array({_B}D) AS b, array(array({_S}D)) AS Sigma"))
+_res = f"(m1 - {_M[0]} * m2 - {_B})"
+register("integrate_log_conditional", lambda s, d: (C.log_conditional(_one(s), groups(s, d)), [F.col("value")]), ["value"], [f"-((s11 - {2 * _M[0]} * s12 + {_M[0] ** 2} * s22 + {_res} * {_res}) / {_S} + {LP} + ln({_S})) / 2"], **_kx)
+register("conditional_update_sigma", lambda s, d: (C.update_sigma(_cond(s), s.sql("SELECT '0' AS r, array(array(2D)) AS Sigma")), [col("Lambda", 0, 0), F.col("ln_det_Sigma")]), ["l", "ld"], ["0.5", "ln(2)"], "(SELECT '0' AS r)", "", ("r",))
+_id = lambda s: C.identity_diagonal(s.sql("SELECT '0' AS r, array(1D, 2D) AS var"))
+register("identity_diagonal_joint", lambda s, d: (C.affine_joint(_id(s), groups(s, d)), [col("mu", 3), col("Sigma", 0, 2), col("Sigma", 3, 3)]), ["mu", "c", "v"], ["m2", "s11", "s22 + 2"], **_kx)
+register("identity_mutual_information", lambda s, d: (C.mutual_information(_id(s), groups(s, d)), [F.col("mutual_information")]), ["mi"], ["ln(((s11 + 1) * (s22 + 2) - s12 * s12) / 2) / 2"], **_kx)
+register("identity_conditional", lambda s, d: (C.affine_conditional(_id(s), groups(s, d)), [col("M", 0, 0), col("M", 0, 1)]), ["g11", "g12"], ["(s11 * (s22 + 2) - s12 * s12) / ((s11 + 1) * (s22 + 2) - s12 * s12)", "(s12 * (s11 + 1) - s11 * s12) / ((s11 + 1) * (s22 + 2) - s12 * s12)"], **_kx)
+register("identity_log_conditional_y", lambda s, d: (C.log_conditional_y(_id(s), groups(s, d), L.vec(1.0, 0.5)), [F.col("value")]), ["value"], [f"-((1 - m1) * (1 - m1) + s11 + ((0.5 - m2) * (0.5 - m2) + s22) / 2 + 2 * {LP} + ln(2)) / 2"], **_kx)
+for _name in ("integrate_log_conditional", "identity_diagonal_joint", "identity_mutual_information", "identity_conditional", "identity_log_conditional_y"):
+    ORACLES[_name] = _x(ORACLES[_name])
+
+# measures: scaling, densities, kinds of factors, diagonals
+register("measure_normalize", lambda s, d: (G.normalize(unnormalised(s, d)), [F.col("ln_beta"), F.col("log_integral"), G.is_normalized().cast("int")]), ["lb", "li", "ok"], ["lb", "0", "1"])
+register("measure_get_density", lambda s, d: (G.get_density(G.multiply(groups(s, d), groups(s, d)).select(F.concat_ws("-", "r", "f_r").alias("r"), "Lambda", "nu", "ln_beta")), [col("mu", 0), col("mu", 1)]), ["c1", "c2"], ["c1", "c2"], "(SELECT concat_ws('-', r, f_r) AS r, c1, c2 FROM c)", _PAIR)
+register("factor_defaults", lambda s, d: (G.moments(G.with_defaults(groups(s, d).select("r", "Lambda"))), [col("mu", 0), F.col("log_integral")]), ["mu", "li"], ["0", f"(2 * {LP} + ln(det)) / 2"])
+_kinds = lambda s: [s.range(1).select(F.lit(k).alias("r"), *f) for k, f in (("linear", G.linear_factor(L.vec(0.1, -0.2), F.lit(0.3))), ("one_rank", G.one_rank_factor(L.vec(1, 2), F.lit(0.5), L.vec(0.1, -0.2), F.lit(0.3))), ("constant", G.constant_factor(F.lit(0.3), 2)))]
+_KINDS = BASE + """, k AS (SELECT * FROM (VALUES ('linear', 0.0::DOUBLE, 0.1::DOUBLE, -0.2::DOUBLE), ('one_rank', 0.5, 0.1, -0.2), ('constant', 0.0, 0.0, 0.0)) AS t(f_r, q, n1, n2)),
+c0 AS (SELECT r, f_r, l11 + q AS a11, l12 + q * 2 AS a12, l22 + q * 4 AS a22, v1 + n1 AS w1, v2 + n2 AS w2, lb + 0.3 AS bb FROM h, k),
+c AS (SELECT *, (a22 * w1 - a12 * w2) / (a11 * a22 - a12 * a12) AS c1, (a11 * w2 - a12 * w1) / (a11 * a22 - a12 * a12) AS c2, a11 * a22 - a12 * a12 AS cd FROM c0)
+"""
+
+
+def _all_kinds(s, d):
+    a, b, c = _kinds(s)
+    return G.moments(G.multiply(groups(s, d), a.unionByName(b).unionByName(c)))
+
+
+register("factor_kinds_multiply", lambda s, d: (_all_kinds(s, d), _pc()), ["c1", "c2", "li"], ["c1", "c2", _LI], "c", _KINDS, ("r", "f_r"))
+_diag = lambda s, d: G.diagonal_density(groups(s, d).select("r", "mu", F.array(col("Sigma", 0, 0), col("Sigma", 1, 1)).alias("var")))
+register("diagonal_density", lambda s, d: (_diag(s, d), [col("Lambda", 1, 1), col("nu", 0), F.col("ln_beta"), G.entropy()]), ["l22", "v1", "lb", "e"], ["1 / s22", "m1 / s11", f"-(m1 * m1 / s11 + m2 * m2 / s22 + 2 * {LP} + ln(s11 * s22)) / 2", f"(2 * (1 + {LP}) + ln(s11 * s22)) / 2"])
+register("diagonal_measure_multiply", lambda s, d: (G.diagonal_moments(G.hadamard(_diag(s, d), _diag(s, d))), [col("mu", 0), col("Sigma", 1, 1), F.col("log_integral")]), ["mu", "s", "li"], ["m1", "s22 / 2", f"-({LP} + {LP} + ln(s11 * s22) + 2 * ln(2)) / 2"])
+register("pdf_kl_aligned", lambda s, d: (G.kl_aligned(groups(s, d), _diag(s, d)), [F.col("kl")]), ["kl"], ["(ln(s11 * s22) - ln(det)) / 2"])
+register("pdf_condition_on_explicit", lambda s, d: (G.condition_on_explicit(groups(s, d, 3), [2], [1, 0]), [col("M", 0, 0), col("M", 1, 0), col("b", 1), col("Sigma", 0, 1)]), ["m2", "m1", "b1", "s"], ["s23 / s33", "s13 / s33", "m1 - s13 / s33 * m3", "s12 - s13 * s23 / s33"])
+
+# forms with two rows: a transposed result would differ
+_TWO = {"A": (((1, 2), (0, 1)), (0.5, -1)), "B": (((0.5, -1), (1, 1)), (0.25, 0)), "C": (((2, 1), (-1, 0.5)), (-1, 2)), "D": (((1, -0.5), (0.25, 1)), (0.75, 1))}
+for _k, (_a, _c) in _TWO.items():
+    for _i in (0, 1):
+        _mean[_k + str(_i)] = f"({_a[_i][0]} * m1 + {_a[_i][1]} * m2 + {_c[_i]})"
+_pairs = [(_k + str(_i), _a[_i]) for _k, (_a, _) in _TWO.items() for _i in (0, 1)]
+_cov |= {i + j: f"({a[0] * b[0]} * s11 + {a[0] * b[1] + a[1] * b[0]} * s12 + {a[1] * b[1]} * s22)" for i, a in _pairs for j, b in _pairs}
+
+
+def _two(n):
+    return [G.Affine(L.mat(a), L.vec(*c)) for a, c in list(_TWO.values())[:n]]
+
+
+for _name, _expr, _n, _ix, _terms in [
+    ("quadratic_inner", "(Ax+a)'(Bx+b)", 2, (), [("A0", "B0"), ("A1", "B1")]),
+    ("quadratic_outer", "(Ax+a)(Bx+b)'", 2, (0, 1), [("A0", "B1")]),
+    ("cubic_inner", "(Ax+a)(Bx+b)'(Cx+c)", 3, (1,), [("A1", "B0", "C0"), ("A1", "B1", "C1")]),
+    ("cubic_outer", "(Ax+a)'(Bx+b)(Cx+c)'", 3, (1,), [("A0", "B0", "C1"), ("A1", "B1", "C1")]),
+    ("quartic_outer", "(Ax+a)(Bx+b)'(Cx+c)(Dx+d)'", 4, (0, 1), [("A0", "B0", "C0", "D1"), ("A0", "B1", "C1", "D1")]),
+    ("quartic_inner", "(Ax+a)'(Bx+b)(Cx+c)'(Dx+d)", 4, (), [(f"A{i}", f"B{i}", f"C{j}", f"D{j}") for i in (0, 1) for j in (0, 1)]),
+]:
+    register(f"integrate_{_name}_2", lambda s, d, e=_expr, n=_n, ix=_ix: (unnormalised(s, d), [at(G.integrate(e, *_two(n)), *ix)]), ["value"], ["2 * (" + " + ".join(_isserlis(t) for t in _terms) + ")"])
+
+# models by moment matching: joints, conditionals and points
+_KA = ([_KN], [[0.5, -0.25, 2.0]], [0.1], [[0.3]])
+_ks = f"(0.3 + 0.25 * s11 - 0.25 * s12 + 0.0625 * s22 + 4 * (0.5 * {_KC[0]} - 0.25 * {_KC[1]}) + 4 * (kb - ka * ka))"
+_kc = (f"(0.5 * s11 - 0.25 * s12 + 2 * {_KC[0]})", f"(0.5 * s12 - 0.25 * s22 + 2 * {_KC[1]})")
+register("kernel_joint", lambda s, d: (K.joint(groups(s, d), *_KA), [col("mu", 2), col("Sigma", 0, 2), col("Sigma", 2, 1), col("Sigma", 2, 2)]), ["mu", "c1", "c2", "v"], ["0.5 * m1 - 0.25 * m2 + 2 * ka + 0.1", *_kc, _ks], "q", _KB)
+register("kernel_conditional", lambda s, d: (K.conditional(groups(s, d), *_KA), [col("M", 0, 0), col("Sigma", 0, 1)]), ["g", "s"], [f"{_kc[0]} / {_ks}", f"s12 - {_kc[0]} * {_kc[1]} / {_ks}"], "q", _KB)
+_PX = "(SELECT p_partkey AS n, p_size / 10.0::DOUBLE AS x1, CAST(p_retailprice AS DOUBLE) / 1000 AS x2 FROM part)"
+_points = lambda s, d: _all_points(s, d).select(F.col("p_partkey").alias("n"), "x")
+register("kernel_condition_on_x", lambda s, d: (K.condition_on_x(_points(s, d), *_KA), [col("mu", 0)]), ["mu"], ["0.5 * x1 - 0.25 * x2 + 2 * exp(-((x1 - 2.0) * (x1 - 2.0) / 2.25 + (x2 - 0.4) * (x2 - 0.4) / 0.49) / 2) + 0.1"], _PX, "", ("n",))
+_HA = ("exp", [[0.5, -0.25]], [0.1], [[0.3]], [[0.8]], [[0.3, -0.2]], [0.1])
+_hs, _hc = f"({_HB}exp({_HM} + {_HV} / 2))", ("(0.5 * s11 - 0.25 * s12)", "(0.5 * s12 - 0.25 * s22)")
+register("hetero_joint", lambda s, d: (H.joint(groups(s, d), *_HA), [col("Sigma", 0, 2), col("Sigma", 2, 1), col("Sigma", 2, 2)]), ["c1", "c2", "v"], [*_hc, _hs])
+register("hetero_conditional", lambda s, d: (H.conditional(groups(s, d), *_HA), [col("M", 1, 0), col("Sigma", 0, 0)]), ["g", "s"], [f"{_hc[1]} / {_hs}", f"s11 - {_hc[0]} * {_hc[0]} / {_hs}"])
+for _link, _e in (("exp", "exp(h)"), ("cosh_minus_one", "(exp(h) + exp(-h)) / 2 - 1"), ("heaviside", "CASE WHEN h >= 0 THEN 1 ELSE 0 END"), ("relu", "greatest(h, 0)")):
+    register(f"hetero_{_link}_condition_on_x", lambda s, d, k=_link: (H.condition_on_x(_points(s, d), k, *_HA[1:]), [col("mu", 0), col("Sigma", 0, 0)]), ["mu", "S"], ["0.5 * x1 - 0.25 * x2 + 0.1", f"0.3 + 0.64 * ({_e})"], f"(SELECT *, 0.3 * x1 - 0.2 * x2 + 0.1 AS h FROM {_PX})", "", ("n",))

@@ -78,3 +78,41 @@ def test_expected_links(spark, link):
         want = np.sum(f(m + np.sqrt(v) * x) * np.exp(-x * x / 2)) * (x[1] - x[0]) / np.sqrt(2 * np.pi)
         got = spark.range(1).select(expected_link(link, F.lit(m), F.lit(v)).alias("e")).first().e
         assert np.isclose(got, want, atol=1e-4)
+
+
+def test_normal_tails_keep_their_precision(spark):
+    import math
+
+    got = spark.range(1).select(L.normal_mass(F.lit(9.0), F.lit(10.0)).alias("a"), L.normal_mass(F.lit(-10.0), F.lit(-9.0)).alias("b"), L.normal_mass(F.lit(30.0), F.lit(float("inf"))).alias("c")).first()
+    want = (math.erfc(9 / math.sqrt(2)) - math.erfc(10 / math.sqrt(2))) / 2
+    assert np.isclose(got.a, want, rtol=1e-10, atol=0) and np.isclose(got.b, want, rtol=1e-10, atol=0) and np.isclose(got.c, math.erfc(30 / math.sqrt(2)) / 2, rtol=1e-10, atol=0)
+
+
+@pytest.mark.parametrize(("lower", "upper"), [(-1.0, 2.0), (0.0, 1.0), (0.0, None), (8.0, 9.5)])
+def test_truncated_against_sums(spark, lower, upper):
+    mu, sd, z = 0.4, 0.9, 2.0
+    x = np.linspace(lower, 15 if upper is None else upper, 400_001)
+    w = z * np.exp(-(((x - mu) / sd) ** 2) / 2) / sd / np.sqrt(2 * np.pi) * (x[1] - x[0])
+    w[[0, -1]] /= 2
+    limits = (F.lit(mu), F.lit(sd), F.lit(lower).cast("double"), F.lit(upper).cast("double"))
+    row = spark.range(1).select(*(C.integrate_truncated(e, F.lit(z), *limits) for e in ("1", "x", "x**2")), C.truncated_density(F.lit(lower + 0.5), *limits), C.truncated_density(F.lit(lower - 0.5), *limits)).first()
+    density = z * np.exp(-(((lower + 0.5 - mu) / sd) ** 2) / 2) / sd / np.sqrt(2 * np.pi) / w.sum()
+    assert np.allclose(row, [w.sum(), (w * x).sum(), (w * x * x).sum(), density, 0.0], rtol=1e-6, atol=0)
+
+
+@pytest.mark.parametrize(("lower", "upper"), [(None, None), (2.0, 1.0)])
+def test_truncated_needs_limits_in_order(spark, lower, upper):
+    with pytest.raises(Exception, match="limit"):
+        spark.range(1).select(C.integrate_truncated("1", F.lit(1.0), F.lit(0.0), F.lit(1.0), F.lit(lower).cast("double"), F.lit(upper).cast("double"))).collect()
+    with pytest.raises(KeyError):
+        C.integrate_truncated("x**3", *[F.lit(0.0)] * 5)
+
+
+@pytest.mark.parametrize("dims", [1, 2, 5])
+def test_samples_have_the_moments(spark, dims):
+    m, mu = spd(dims, dims), np.arange(dims, dtype=float)
+    df = spark.createDataFrame([("a", mu.tolist(), m.tolist())], "r string, mu array<double>, Sigma array<array<double>>")
+    low = df.select(L.cholesky(F.col("Sigma")).alias("c")).first().c
+    assert all(np.allclose(row, np.linalg.cholesky(m)[i, : i + 1]) for i, row in enumerate(low))
+    x = np.array([r.x for r in G.sample(df, 20_000, dims, seed=3).collect()])
+    assert x.shape == (20_000, dims) and np.allclose(x.mean(0), mu, atol=0.06) and np.allclose(np.cov(x.T), m, atol=0.15)
