@@ -60,10 +60,15 @@ def test_pii_base_and_added(spark, docs):
         pii.find_pii(odd.withColumn("__base", F.lit(1)))
 
 
-def test_pii_recall_of_planted_spans():
-    """Held-out sentences of the training rule are told apart by the trees as the thresholds promise."""
-    rows = pii._made(50, seed=5)
-    assert len({r[0] % len(pii.ALL_KINDS) for r in rows}) == len(pii.ALL_KINDS) and all(e - s > 3 for _, _, s, e in rows if s >= 0)
+def test_pii_recall_of_planted_spans(spark):
+    """Sentences of the training rule with another seed: most planted spans are found, few others are."""
+    rows = pii._made(500, seed=5)
+    df = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    found = {r.doc_id: [(c.s, c.e) for c in r["__spans"]] for r in pii.find_pii(df).collect()}
+    planted = [(i, s, e) for i, _, s, e in rows if s >= 0]
+    hits = sum(any(min(e, y) - max(s, x) >= 0.8 * (e - s) for x, y in found[i]) for i, s, e in planted)
+    false = sum(bool(found[i]) for i, _, s, _ in rows if s < 0)
+    assert hits >= 0.7 * len(planted) and false <= 0.1 * (len(rows) - len(planted)), (hits, len(planted), false)
 
 
 def test_pii_many_matches(spark):
