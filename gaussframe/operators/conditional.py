@@ -116,9 +116,9 @@ def truncated_density(x: Column, mu: Column, sigma: Column, lower: Column, upper
 TRUNCATED = {"1": lambda t: F.lit(1.0), "x": lambda t: t["mean"], "x**2": lambda t: t["variance"] + t["mean"] * t["mean"]}
 
 
-def integrate_truncated(expr: str, z: Column, mu: Column, sigma: Column, lower: Column, upper: Column) -> Column:
-    """The integral of an expression over a measure with integral ``z``; unknown expressions raise KeyError, limits that aren't in order raise."""
-    of = TRUNCATED[expr]
+def integrate_truncated(expr: str, z: Column, mu: Column, sigma: Column, lower: Column, upper: Column, k: int | None = None) -> Column:
+    """The integral of an expression ("x**k" takes k) over a measure with integral ``z``; unknown expressions raise KeyError, limits that aren't in order raise."""
+    of = (lambda t: truncated_moment(mu, sigma, lower, upper, k)) if expr == "x**k" and k is not None else TRUNCATED[expr]
     t = truncated(mu, sigma, lower, upper)
     value = F.when(t["mass"] <= 0, 0.0).otherwise(z * t["mass"] * of(t))
     return F.when(lower.isNull() & upper.isNull(), F.raise_error(F.lit("a truncated measure needs a limit")).cast("double")).when(lower >= upper, F.raise_error(F.lit("the lower limit isn't under the upper one")).cast("double")).otherwise(value)

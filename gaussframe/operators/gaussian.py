@@ -195,10 +195,12 @@ def condition_on_explicit(df: DataFrame, dim_y: list[int], dim_x: list[int]) ->
 
 
 class Affine:
-    """Ax + a under a measure: its mean, and covariances with others."""
+    """Ax + a under a measure: its mean, and covariances with others; A is the identity and a 0 where they lack."""
 
-    def __init__(self, a: Column, c: Column):
-        self.a, self.mean = a, L.add(L.matvec(a, F.col("mu")), c)
+    def __init__(self, a: Column | None = None, c: Column | None = None):
+        self.a = L.identity(F.size("mu")) if a is None else a
+        moved = L.matvec(self.a, F.col("mu"))
+        self.mean = moved if c is None else L.add(moved, c)
 
     def cov(self, o: Affine) -> Column:
         return L.matmul(L.matmul(self.a, F.col("Sigma")), L.transpose(o.a))
@@ -227,6 +229,7 @@ INTEGRALS = {
     "xb'xx'": lambda b: L.mscale(L.madd(L.madd(L.outer(F.col("mu"), L.matvec(L.madd(F.col("Sigma"), L.outer(F.col("mu"), F.col("mu"))), b)), L.mscale(F.col("Sigma"), L.dot(b, F.col("mu")))), L.outer(L.matvec(F.col("Sigma"), b), F.col("mu"))), z()),
     "(Ax+a)(Bx+b)'(Cx+c)": lambda A, B, C: L.scale(L.add(L.add(_times(A.cov(B), C.mean), _times(A.cov(C), B.mean)), L.scale(A.mean, L.trace(B.cov(C)) + L.dot(B.mean, C.mean))), z()),
     "(Ax+a)'(Bx+b)(Cx+c)'": lambda A, B, C: L.scale(L.add(L.add(_times(L.transpose(B.cov(C)), A.mean), _times(L.transpose(A.cov(C)), B.mean)), L.scale(C.mean, L.trace(A.cov(B)) + L.dot(A.mean, B.mean))), z()),
+    "log u(x)": lambda lam, nu, ln_beta: log_factor_integral(lam, nu, ln_beta),
     "x(A'x + a)x'": lambda b, a: L.madd(INTEGRALS["xb'xx'"](b), L.mscale(INTEGRALS["xx'"](), a)),
     "(Ax+a)(Bx+b)'(Cx+c)(Dx+d)'": lambda A, B, C, D: L.mscale(
         L.madd(

@@ -7,11 +7,14 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
+from ..functions import wide as W
 from ..operators import conditional as C
+from ..operators import control as N
 from ..operators import gaussian as G
 from ..operators import heteroscedastic as H
 from ..operators import kernels as K
 from ..sources.fit import fit
+from ..sources.wide import fit_wide
 from ..streaming.kalman import kalman_filter
 
 P = 6
@@ -283,3 +286,40 @@ register("hetero_joint", lambda s, d: (H.joint(groups(s, d), *_HA), [col("Sigma"
 register("hetero_conditional", lambda s, d: (H.conditional(groups(s, d), *_HA), [col("M", 1, 0), col("Sigma", 0, 0)]), ["g", "s"], [f"{_hc[1]} / {_hs}", f"s11 - {_hc[0]} * {_hc[0]} / {_hs}"])
 for _link, _e in (("exp", "exp(h)"), ("cosh_minus_one", "(exp(h) + exp(-h)) / 2 - 1"), ("heaviside", "CASE WHEN h >= 0 THEN 1 ELSE 0 END"), ("relu", "greatest(h, 0)")):
     register(f"hetero_{_link}_condition_on_x", lambda s, d, k=_link: (H.condition_on_x(_points(s, d), k, *_HA[1:]), [col("mu", 0), col("Sigma", 0, 0)]), ["mu", "S"], ["0.5 * x1 - 0.25 * x2 + 0.1", f"0.3 + 0.64 * ({_e})"], f"(SELECT *, 0.3 * x1 - 0.2 * x2 + 0.1 AS h FROM {_PX})", "", ("n",))
+
+# kernel models: expected logs, ridges, bounds of models whose noise depends on x
+register("kernel_log_conditional_y", lambda s, d: (K.log_conditional_y(groups(s, d), *_KA, L.vec(1.0)), [F.col("value")]), ["value"], [f"-((power(0.9 - 0.5 * m1 + 0.25 * m2 - 2 * ka, 2) + {_ks} - 0.3) / 0.3 + {LP} + ln(0.3)) / 2"], "q", _KB)
+_K1 = BASE + ", q AS (SELECT *, 0.7 / sqrt(s22 + 0.49) * exp(-(0.4 - m2) * (0.4 - m2) / (s22 + 0.49) / 2) AS e, (0.4 - m2) / (s22 + 0.49) AS g, sqrt(0.245 / (s22 + 0.245)) * exp(-(0.4 - m2) * (0.4 - m2) / (s22 + 0.245) / 2) AS e2 FROM h)\n"
+register(
+    "kernel_log_conditional",
+    lambda s, d: (K.log_conditional(groups(s, d), [K.Radial([0.4], [0.7])], [[0.5, 2.0]], [0.1], [[0.3]]), [F.col("value")]),
+    ["value"],
+    [f"-((power(m1 - 0.5 * m2 - 2 * e - 0.1, 2) + s11 - 2 * (0.5 * s12 + 2 * e * s12 * g) + 0.25 * s22 + 2 * e * s22 * g + 4 * (e2 - e * e)) / 0.3 + {LP} + ln(0.3)) / 2"],
+    "q",
+    _K1,
+)
+_RA = ([K.Ridge([0.3, -0.2], 0.1)], [[0.5, -0.25, 2.0]], [0.1], [[0.3]])
+_RB = BASE + f", q0 AS (SELECT *, {_HM} AS m, {_HV} AS v FROM h), q1 AS (SELECT *, exp(-m * m / (1 + v) / 2) / sqrt(1 + v) AS e, exp(-m * m / (1 + 2 * v)) / sqrt(1 + 2 * v) AS e2 FROM q0), q AS (SELECT *, -e * m / (1 + v) * (0.3 * s11 - 0.2 * s12) AS g1, -e * m / (1 + v) * (0.3 * s12 - 0.2 * s22) AS g2 FROM q1)\n"
+_rs = "(0.25 * s11 - 0.25 * s12 + 0.0625 * s22 + 4 * (0.5 * g1 - 0.25 * g2) + 4 * (e2 - e * e))"
+register("ridge_marginal", lambda s, d: (K.marginal(groups(s, d), *_RA), [col("mu", 0), col("Sigma", 0, 0), col("cross", 0, 1)]), ["mu", "S", "c"], ["0.5 * m1 - 0.25 * m2 + 2 * e + 0.1", f"0.3 + {_rs}", "0.5 * s12 - 0.25 * s22 + 2 * g2"], "q", _RB)
+register("ridge_log_conditional_y", lambda s, d: (K.log_conditional_y(groups(s, d), *_RA, L.vec(1.0)), [F.col("value")]), ["value"], [f"-((power(0.9 - 0.5 * m1 + 0.25 * m2 - 2 * e, 2) + {_rs}) / 0.3 + {LP} + ln(0.3)) / 2"], "q", _RB)
+register("ridge_condition_on_x", lambda s, d: (K.condition_on_x(_points(s, d), *_RA), [col("mu", 0)]), ["mu"], ["0.5 * x1 - 0.25 * x2 + 2 * exp(-power(0.3 * x1 - 0.2 * x2 + 0.1, 2) / 2) + 0.1"], _PX, "", ("n",))
+register("kernel_cross_terms", lambda s, d: (K.cross_terms(groups(s, d), K.marginal(groups(s, d), *_KA)), [col("value", 0, 0)]), ["value"], [f"{_kc[0]} + (0.5 * m1 - 0.25 * m2 + 2 * ka + 0.1) * m1"], "q", _KB)
+_HL = ("exp", [[0.5, -0.25]], [0.1], [[0.64]], [[0.8]], [[0.3, -0.2]], [0.1])
+_HQ = BASE + f""", q0 AS (SELECT *, {_HM} AS m, {_HV} AS v, 0.9 - 0.5 * m1 + 0.25 * m2 AS e, 0.25 * s11 - 0.25 * s12 + 0.0625 * s22 AS ev, -1.25 * (0.15 * s11 - 0.175 * s12 + 0.05 * s22) AS hu FROM h),
+q1 AS (SELECT *, sqrt(m * m + v) AS w, hu / v AS beta, 1.25 * e - hu / v * m AS alpha, 1.5625 * ev - hu * hu / v AS rest FROM q0),
+q2 AS (SELECT *, (1 - exp(-w)) / (1 + exp(-w)) / w / 2 AS g, w / 2 + ln(1 + exp(-w)) AS lw FROM q1),
+q3 AS (SELECT *, (m + v / 2) / (1 + g * v) AS tm, v / (1 + g * v) AS tv, (m + v / 4 - g * m * m) / (1 + g * v) / 2 - ln(1 + g * v) / 2 - lw + g * w * w / 2 AS ln_mass FROM q2),
+q AS (SELECT *, exp(ln_mass) * ((alpha + beta * tm) * (alpha + beta * tm) + beta * beta * tv + rest) AS term FROM q3)
+"""
+register("hetero_exp_log_conditional_y", lambda s, d: (H.log_conditional_y(groups(s, d), *_HL, L.vec(1.0), iterations=0), [F.col("value")]), ["value"], [f"-((e * e + ev) / 0.64 - term + ln(0.64) + m / 2 + lw + {LP}) / 2"], "q", _HQ)
+for _link in ("cosh_minus_one", "heaviside", "relu"):
+    # tested against sums: no SQL, as it lacks the normal distribution and the fixed point
+    register(f"hetero_{_link}_log_conditional_y", lambda s, d, k=_link: (H.log_conditional_y(groups(s, d), k, *_HL[1:], L.vec(1.0)), [F.col("value")]), ["value"], ["0"])
+    del ORACLES[f"hetero_{_link}_log_conditional_y"]
+_control = lambda s: N.controlled(s.sql("SELECT r, array(CAST(r AS DOUBLE)) AS u FROM VALUES (1), (2) AS t(r)"), N.network([([[0.5], [0.0], [-0.1]], [0.0, 0.3, 0.2])]), 1, 2, 1, [[0.3]])
+_NX = "(SELECT u.r, h.r AS x_r, h.* EXCLUDE (r) FROM (VALUES (1), (2)) AS u(r), h)"
+register("control_affine_marginal", lambda s, d: (C.affine_marginal(_control(s), groups(s, d)), [col("mu", 0), col("Sigma", 0, 0)]), ["mu", "S"], ["0.5 * r * m1 + 0.3 * m2 + 0.2 - 0.1 * r", "0.3 + 0.25 * r * r * s11 + 0.3 * r * s12 + 0.09 * s22"], _NX, BASE, ("r", "x_r"))
+register("control_log_conditional_y", lambda s, d: (C.log_conditional_y(_control(s), groups(s, d), L.vec(1.0)), [F.col("value")]), ["value"], [f"-((power(0.8 + 0.1 * r - 0.5 * r * m1 - 0.3 * m2, 2) + 0.25 * r * r * s11 + 0.3 * r * s12 + 0.09 * s22) / 0.3 + {LP} + ln(0.3)) / 2"], _NX, BASE, ("r", "x_r"))
+register("gauss_fit_embeddings", lambda s, d: (fit_wide(_read(s, d, "embeddings"), "label", "embedding", 64, 0.01).withColumn("i", W.inverse(F.col("Sigma"))), [F.col("n"), col("mu", 63), col("Sigma", 0, 1), col("Sigma", 63, 63), F.col("i.valid").cast("int")]), ["n", "mu", "s01", "s63", "ok"], ["count(*)", "avg(embedding[64]::DOUBLE)", "covar_pop(embedding[1]::DOUBLE, embedding[2]::DOUBLE)", "var_pop(embedding[64]::DOUBLE) + 0.01", "1"], "embeddings GROUP BY label", "", ("r",))
+ORACLES["gauss_fit_embeddings"] = ORACLES["gauss_fit_embeddings"].replace("SELECT r,", "SELECT label AS r,")
