@@ -7,7 +7,9 @@ Encoding has three stages; texts are read and cut once.
    time: each distinct word of the input is encoded once, and what a task remembers is one of
    ``FINE`` parts of its partition's distinct words.
 3. The ids are joined back to the blocks, which replace word numbers by ids in order of position.
-What moves is a block's distinct words, their ids and twice the sequence of numbers, all compressed; a
+Words and blocks share one shuffle, which both stages read: blocks are dealt by their name, so that they
+lie where stage 3 wants them, and words by names that hash to the partitions (``named_parts``).  What is
+written is a block's distinct words, their ids and once the sequence of numbers, all compressed; a
 frequent word moves once a block, never once an occurrence.
 
 Decoding joins the table of token bytes, whose size is the vocabulary's, to the ids of a batch by
@@ -26,6 +28,7 @@ from __future__ import annotations
 import array
 import base64
 import hashlib
+import math
 import pickle
 import re
 import zlib
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, stored, tidied
@@ -187,21 +190,33 @@ def _block(keys: list, rows: list[np.ndarray], numbers: dict[str, int], fine: in
     return hashlib.blake2b(docs, digest_size=16).hexdigest(), docs, sent
 
 
-_COLUMNS = ["block", "part", "fine", "payload"]
+_COLUMNS = ["dest", "block", "fine", "payload"]
 
 
-def _rows(block: list[str], part: list[int], fine: list[int], payload: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.string()), pa.array(part, pa.int32()), pa.array(fine, pa.int32()), pa.array(payload, pa.binary())], names=_COLUMNS)
+def _rows(dest: list[str], block: list[str], fine: list[int], payload: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(dest, pa.string()), pa.array(block, pa.string()), pa.array(fine, pa.int32()), pa.array(payload, pa.binary())], names=_COLUMNS)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, parts: int) -> Iterator[pa.RecordBatch]:
-    """A row of documents (fine -1) and rows of words of each block."""
+def named_parts(spark: SparkSession, parts: int) -> list[str]:
+    """A name for each part of the words, such that names hash to different partitions.
+
+    Of so many candidates one lacks a partition once in 20,000 runs; its part then shares another's.
+    """
+    names = [f"w{i}" for i in range(parts)]
+    tried = spark.range(0, int(parts * (math.log(parts) + 10)), 1, 1).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("name"))
+    for name, at in tried.select("name", F.pmod(F.hash("name"), F.lit(parts))).collect():
+        names[at] = name
+    return names
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row of documents (fine -1, dealt by the block's name) and rows of words (dealt by ``names``) of each block."""
     split = splitter(pattern)
 
     def out() -> Iterator[pa.RecordBatch]:
-        name, docs, sent = _block(keys, rows, numbers, parts * FINE)
-        yield _rows([name], [zlib.crc32(name.encode()) % parts], [-1], [docs])
-        yield _rows([name] * len(sent), [f // FINE for f, _ in sent], [f for f, _ in sent], [s for _, s in sent])
+        name, docs, sent = _block(keys, rows, numbers, len(names) * FINE)
+        yield _rows([name], [name], [-1], [docs])
+        yield _rows([names[f // FINE] for f, _ in sent], [name] * len(sent), [f for f, _ in sent], [s for _, s in sent])
 
     def fresh() -> tuple[list, list, dict, int]:
         numbers: defaultdict = defaultdict()
@@ -262,14 +277,11 @@ class _Words:
 
 
 def _encode_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str, count) -> Iterator[pa.RecordBatch]:
-    """Words, in order of their fine part, become ids; rows of documents pass."""
+    """Words, in order of their fine part, become ids, dealt by their block's name."""
     words, now, done = _Words(encoder(path, pattern)), -1, 0
     for b in batches:
         payloads = []
         for fine, payload in zip(b.column(2).to_pylist(), b.column(3), strict=True):
-            if fine < 0:
-                payloads.append(payload.as_py())
-                continue
             if fine != now:
                 done += len(words.number)
                 words.clear()
@@ -277,16 +289,16 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str, co
             lens, data = _unpack(payload.as_py())
             n, ids = words.of(_whole(lens).tolist(), data)
             payloads.append(_pack((_planes(n), _planes(ids))))
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(payloads, pa.binary())], names=_COLUMNS)
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(payloads, pa.binary())], names=["dest", "fine", "payload"])
     if count is not None:
         count.add(done + len(words.number))
 
 
-def _reassemble(table: pa.Table, key_type: pa.DataType, tokens: pa.Array | None = None) -> pa.Table:
+def _reassemble(blocks: pa.Table, ids: pa.Table, key_type: pa.DataType, tokens: pa.Array | None = None) -> pa.Table:
     """The rows of a block; with the token-byte table also what their ids decode to."""
     # equal blocks come with equal words: each part counts once
-    answers = {f: p for f, p in zip(table.column("fine").to_pylist(), table.column("payload"), strict=True) if f >= 0}
-    docs = [p for f, p in zip(table.column("fine").to_pylist(), table.column("payload"), strict=True) if f < 0]
+    answers = dict(zip(ids.column("fine").to_pylist(), ids.column("payload"), strict=True))
+    docs = list(blocks.column("payload"))
     lens, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     for f in sorted(answers):
         n, ids = _unpack(answers[f].as_py())
@@ -336,13 +348,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = plain.schema[0].dataType
     key_type = to_arrow_type(kind)
-    schema = "block string, part int, fine int, payload binary"
-    cut = plain.mapInArrow(lambda it: tidied(_blocks(it, pattern, parts)), schema)
-    dealt = cut.repartitionById(parts, F.col("part")).sortWithinPartitions("fine")
-    answers = dealt.mapInArrow(lambda it: tidied(_encode_words(it, ranks_path, pattern, count)), schema)
+    names = named_parts(spark, parts)
+    cut = plain.mapInArrow(lambda it: tidied(_blocks(it, pattern, names)), "dest string, block string, fine int, payload binary")
+    dealt = cut.repartition(parts, "dest")
+
+    def kind_of(words: bool):
+        # a condition that isn't deterministic stays above the shuffle, so that both sides read the same one
+        return F.when(F.spark_partition_id() >= 0, (F.col("fine") >= 0) == words)
+
+    blocks = dealt.filter(kind_of(False))
+    answers = dealt.filter(kind_of(True)).sortWithinPartitions("fine").mapInArrow(lambda it: tidied(_encode_words(it, ranks_path, pattern, count)), "dest string, fine int, payload binary")
     table = spark.sparkContext.broadcast(token_bytes(ranks_path)) if round_trip else None
     columns = f"__key {kind.simpleString()}, n_tokens long, ids binary{', decoded binary' * round_trip}"
-    whole = answers.groupBy("block").applyInArrow(lambda t: _reassemble(t, key_type, table.value if table else None), columns)
+    whole = blocks.groupBy("dest").cogroup(answers.groupBy("dest")).applyInArrow(lambda b, i: _reassemble(b, i, key_type, table.value if table else None), columns)
     return whole.withColumnRenamed("__key", key)
 
 

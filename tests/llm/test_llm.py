@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import os
 import random
 import re
 import time
@@ -385,6 +386,39 @@ def test_byte_bpe(spark, docs, none):
     assert count.value == len({w for r in docs.collect() for w in split(r.text or "")})
 
 
+def stages_after(spark, last):
+    """Ids and shuffled bytes of the stages that ran since ``last``."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    empty = sc._jvm.java.util.ArrayList()
+    found = sc._jsc.sc().statusStore().stageList(empty, False, False, sc._gateway.new_array(sc._jvm.double, 0), empty)
+    every = [(x.stageId(), x.shuffleWriteBytes()) for x in map(found.apply, range(found.size()))]
+    return [x for x in every if x[0] > last]
+
+
+def test_byte_bpe_writes_blocks_once(spark):
+    path, ranks = "/root/testdata/sf0.01/documents.parquet", str(P.path("byte_bpe_50k.tiktoken"))
+    df = byte_bpe.encode(spark.read.parquet(path), ranks, P.PATTERN, round_trip=True)
+    last = max((i for i, _ in stages_after(spark, -1)), default=-1)
+    got = {r.doc_id: (r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in df.collect()}
+    written = sum(b for _, b in stages_after(spark, last))
+    # texts are cut once: both sides of the join read one shuffle
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") == 1
+    assert 0 < written < 1.4 * os.path.getsize(path)
+    enc = byte_bpe.encoder(ranks, P.PATTERN)
+    for i, text in duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{path}'").fetchall():
+        ids = enc.encode_ordinary(text)
+        assert got.pop(i) == (len(ids), np.array(ids, "<u4").tobytes(), text.encode())
+    assert not got
+
+
+def test_byte_bpe_words_fill_the_partitions(spark):
+    for parts in (1, 4, 211):
+        names = byte_bpe.named_parts(spark, parts)
+        at = spark.createDataFrame([(n,) for n in names], "n string").select(F.pmod(F.hash("n"), F.lit(parts))).collect()
+        assert [r[0] for r in at] == list(range(parts))
+
+
 def test_byte_bpe_codes_and_bad_ids():
     import pyarrow as pa
 
